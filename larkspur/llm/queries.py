@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import load
+from larkspur.llm.jaccard_join import jaccard_join
+from larkspur.llm.mixing import mix
+from larkspur.llm.packing import pack
+from larkspur.llm.quality import quality
 from larkspur.llm.suffix_dedup import suffix_dedup
 
 
@@ -17,8 +21,42 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(load(spark, sf_dir, "documents"), "doc_id").select(
+        "doc_id",
+        F.col("stats.n_words").cast("long").alias("n_words"),
+        F.col("stats.word_chars").cast("long").alias("word_chars"),
+        F.col("stats.n_symbols").cast("long").alias("n_symbols"),
+        F.col("stats.lines.n_dup_lines").cast("long").alias("n_dup_lines"),
+        F.col("stats.n_repeat_words").cast("long").alias("n_repeat_words"),
+        "base_failed",
+        "kept",
+        "posterior",
+    )
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(load(spark, sf_dir, "documents")).select(F.col("row.doc_id").alias("doc_id"), "source", "size", "block", "slot", "place")
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), with_ids=False).drop("ids")
+
+
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join(load(spark, sf_dir, "documents"), k=3, percent=90).select(
+        F.col("row.doc_id").alias("doc_id"), "n_shingles", "component_id"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op5_quality_rules": op5_quality_rules,
+    "op7_mixing": op7_mixing,
+    "op8_packing": op8_packing,
+    "op10_jaccard_join": op10_jaccard_join,
 }
 
 ORACLES: dict[str, str] = {}

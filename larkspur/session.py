@@ -28,7 +28,7 @@ def importable(spark: SparkSession) -> None:
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
     """A session for tests and benchmarks; on a cluster use the cluster's own."""
     spark = (
-        SparkSession.builder.master(f"local[{cores}]")
+        SparkSession.builder.config('spark.ui.showConsoleProgress','false').master(f"local[{cores}]")
         .appName("larkspur")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")

@@ -29,7 +29,7 @@ null ``doc_id`` comes before all others.  Extra columns are kept in ``row``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -426,31 +426,36 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, spans = batch.column("row"), batch.column("spans")
-        text = row.field("text")
-        has = ~np.asarray(spans.is_null())
-        sizes, removed, runs, kept = [], [], [], []
-        for i in range(len(batch)):
-            data = (text[i].as_py() or "").encode()
-            s, e = [], []
-            if has[i]:
-                own = spans[i].values
-                s, e = merged(own.field("s").to_numpy(), own.field("e").to_numpy())
-            sizes.append(len(data))
-            removed.append(sum(e) - sum(s))
-            runs.append(len(s))
-            kept.append(b"".join(data[x:y] for x, y in zip([0, *e], [*s, len(data)], strict=True)))
-        yield pa.RecordBatch.from_arrays(
-            [row, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
-            names=["row", "n_bytes", "n_removed", "n_spans", "kept"],
-        )
+def remover(whole_characters: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, spans = batch.column("row"), batch.column("spans")
+            text = row.field("text")
+            has = ~np.asarray(spans.is_null())
+            sizes, removed, runs, kept = [], [], [], []
+            for i in range(len(batch)):
+                data = (text[i].as_py() or "").encode()
+                s, e = [], []
+                if has[i]:
+                    own = spans[i].values
+                    s, e = merged(own.field("s").to_numpy(), own.field("e").to_numpy())
+                sizes.append(len(data))
+                removed.append(sum(e) - sum(s))
+                runs.append(len(s))
+                left = b"".join(data[x:y] for x, y in zip([0, *e], [*s, len(data)], strict=True))
+                kept.append(left.decode(errors="ignore").encode() if whole_characters and s else left)
+            yield pa.RecordBatch.from_arrays(
+                [row, pa.array(sizes, pa.int64()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(kept, pa.binary())],
+                names=["row", "n_bytes", "n_removed", "n_spans", "kept"],
+            )
+
+    return remove
 
 
-def suffix_dedup(docs: DataFrame) -> DataFrame:
+def suffix_dedup(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     """Per row of ``docs``: ``row`` (the input row), ``n_bytes``, ``n_removed``, ``n_spans``
-    and ``kept``, the bytes that stay."""
+    and ``kept``, the bytes that stay; with ``whole_characters``, what is left of a
+    code point that a removed span cuts in two is left out of ``kept``."""
     base = keyed(docs)
     found = (
         base.select("d", "tag", F.col("row.text").alias("text"))
@@ -481,4 +486,4 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         + [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
         + [T.StructField("kept", T.BinaryType())]
     )
-    return base.join(ranges, ["d", "tag"], "left").mapInArrow(remove, schema)
+    return base.join(ranges, ["d", "tag"], "left").mapInArrow(remover(whole_characters), schema)

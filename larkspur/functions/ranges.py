@@ -142,8 +142,12 @@ def multirange(rs: Column) -> Column:
     full = F.array_sort(F.filter(rs, lambda r: ~r["empty"]))
 
     def add(acc: Column, r: Column) -> Column:
-        joins = (F.size(acc) > 0) & F.coalesce(overlaps(F.try_element_at(acc, F.lit(-1)), r) | adjacent(F.try_element_at(acc, F.lit(-1)), r), F.lit(False))
-        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(merge(F.try_element_at(acc, F.lit(-1)), r)))
-        return F.when(joins, joined).otherwise(F.concat(acc, F.array(r)))
+        def onto(last: Column) -> Column:
+            joins = last.isNotNull() & F.coalesce(overlaps(last, r) | adjacent(last, r), F.lit(False))
+            kept = F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))
+            return F.when(joins, F.concat(kept, F.array(merge(last, r)))).otherwise(F.concat(acc, F.array(r)))
+
+        # bound once, as the last range is named often
+        return F.get(F.transform(F.array(F.try_element_at(acc, F.lit(-1))), onto), 0)
 
     return F.aggregate(full, F.slice(full, 1, 0), add)

@@ -1,3 +1,63 @@
+"""String and regular-expression functions."""
+
 from __future__ import annotations
 
-QUERIES: list = []
+from pyspark.sql import functions as F
+
+from larkspur.functions import bits, regex, strings
+from larkspur.plans import Query, frame, sql
+
+
+def col(query: str, column, oracle: str, table: str = "part", key: str = "p_partkey") -> Query:
+    """One computed column ``v``, of a part's name, type and size, beside its key."""
+    return frame(query, table, lambda t: t.select(key, column(F.col("p_name"), F.col("p_type"), F.col("p_size")).alias("v")), f"SELECT {key}, {oracle} AS v FROM {table}")
+
+
+QUERIES: list[Query] = [
+    sql("str_length", "part", "SELECT p_partkey, char_length(p_name) AS a, length(p_type) AS b, octet_length(p_brand) AS c, bit_length(p_brand) AS d FROM part",
+        "SELECT p_partkey, length(p_name) AS a, length(p_type) AS b, strlen(p_brand) AS c, 8 * strlen(p_brand) AS d FROM part"),
+    sql("str_case", "part", "SELECT p_partkey, upper(p_name) AS u, lower(p_type) AS l FROM part"),
+    col("str_initcap", lambda name, kind, size: strings.initcap(F.lower(kind)), "list_aggregate(list_transform(string_split(lower(p_type), ' '), lambda w: upper(w[1]) || w[2:]), 'string_agg', ' ')"),
+    sql("str_trim", "part", "SELECT p_partkey, trim(BOTH 'B#' FROM p_brand) AS b, ltrim('Br', p_brand) AS l, rtrim('0123456789', p_brand) AS r, btrim(concat('  ', p_brand, ' ')) AS w FROM part",
+        "SELECT p_partkey, trim(p_brand, 'B#') AS b, ltrim(p_brand, 'Br') AS l, rtrim(p_brand, '0123456789') AS r, trim('  ' || p_brand || ' ') AS w FROM part"),
+    sql("str_overlay", "part", "SELECT p_partkey, overlay(p_name PLACING 'XX' FROM 2 FOR 3) AS v FROM part", "SELECT p_partkey, p_name[:1] || 'XX' || p_name[5:] AS v FROM part"),
+    col("str_substr", lambda name, kind, size: strings.substr(name, size % 7 - 2, 4), "substring(p_name, greatest(p_size % 7 - 2, 1), greatest(p_size % 7 + 2, 1) - greatest(p_size % 7 - 2, 1))"),
+    col("str_substr_open", lambda name, kind, size: strings.substr(name, size % 7 - 2), "substring(p_name, greatest(p_size % 7 - 2, 1))"),
+    col("str_left", lambda name, kind, size: strings.left(name, size % 9 - 4), "left(p_name, p_size % 9 - 4)"),
+    col("str_right", lambda name, kind, size: strings.right(name, size % 9 - 4), "right(p_name, p_size % 9 - 4)"),
+    sql("str_replace", "part", "SELECT p_partkey, replace(p_type, 'STEEL', 'iron') AS r, repeat(p_brand, 2) AS p, reverse(p_name) AS v, translate(p_type, 'AEIOU', 'aei') AS t FROM part",
+        "SELECT p_partkey, replace(p_type, 'STEEL', 'iron') AS r, repeat(p_brand, 2) AS p, reverse(p_name) AS v, translate(p_type, 'AEIOU', 'aei') AS t FROM part"),
+    sql("str_position", "part", "SELECT p_partkey, position('a' IN p_name) AS p, instr(p_type, 'E') AS i, startswith(p_type, 'S') AS s FROM part",
+        "SELECT p_partkey, strpos(p_name, 'a') AS p, strpos(p_type, 'E') AS i, starts_with(p_type, 'S') AS s FROM part"),
+    col("str_concat", lambda name, kind, size: strings.concat(name, F.when(size > 25, kind), F.lit("!")), "concat(p_name, CASE WHEN p_size > 25 THEN p_type END, '!')"),
+    sql("str_concat_ws", "part", "SELECT p_partkey, concat_ws('-', p_brand, CASE WHEN p_size > 25 THEN p_type END, p_name) AS v, p_brand || CASE WHEN p_size > 25 THEN 'x' END AS o FROM part"),
+    col("str_ascii", lambda name, kind, size: F.ascii(name), "ascii(p_name)"),
+    col("str_chr", lambda name, kind, size: strings.chr_(size * 200 + 65), "chr(p_size * 200 + 65)"),
+    sql("str_pad", "part", "SELECT p_partkey, lpad(p_brand, 12, '*') AS l, rpad(p_brand, 5, '*') AS r FROM part"),
+    col("str_split_part", lambda name, kind, size: strings.split_part(kind, " ", 2), "split_part(p_type, ' ', 2)"),
+    col("str_split_part_end", lambda name, kind, size: strings.split_part(kind, " ", -1), "split_part(p_type, ' ', -1)"),
+    col("str_quote_ident", lambda name, kind, size: strings.quote_ident(F.when(size > 25, F.lower(F.regexp_replace(kind, " ", "_"))).otherwise(kind)), """CASE WHEN p_size > 25 AND regexp_full_match(lower(replace(p_type, ' ', '_')), '[a-z_][a-z0-9_$]*') THEN lower(replace(p_type, ' ', '_'))
+        ELSE '"' || CASE WHEN p_size > 25 THEN lower(replace(p_type, ' ', '_')) ELSE p_type END || '"' END"""),
+    col("str_quote_literal", lambda name, kind, size: strings.quote_nullable(F.when(size > 10, F.concat(name, F.lit("'s")))), "CASE WHEN p_size > 10 THEN '''' || replace(p_name || '''s', '''', '''''') || '''' ELSE 'NULL' END"),
+    col("str_format", lambda name, kind, size: strings.format_("%s has %L (%%)", name, F.col("p_brand")), "p_name || ' has ''' || p_brand || ''' (%)'"),
+    col("str_to_hex", lambda name, kind, size: F.lower(F.hex(F.col("p_partkey") * 31)), "lower(to_hex(p_partkey * 31))"),
+    col("str_md5", lambda name, kind, size: F.md5(name.cast("binary")), "md5(p_name)"),
+    col("str_sha256", lambda name, kind, size: bits.encode_hex(bits.sha(name, 256)), "sha256(p_name)"),
+    col("str_base64", lambda name, kind, size: bits.encode_base64(name.cast("binary")), "to_base64(p_name::BLOB)"),
+    col("str_encode_hex", lambda name, kind, size: bits.encode_hex(name.cast("binary")), "lower(hex(p_name))"),
+    col("str_size_pretty", lambda name, kind, size: strings.size_pretty(F.col("p_partkey") * 37), "CASE WHEN p_partkey * 37 < 10240 THEN (p_partkey * 37)::VARCHAR || ' bytes' ELSE ((p_partkey * 37 // 512 + 1) // 2)::VARCHAR || ' kB' END"),
+    col("re_match", lambda name, kind, size: regex.matches(kind, "^(small|large).*steel$", True), "regexp_matches(p_type, '^(small|large).*steel$', 'i')"),
+    col("re_replace_first", lambda name, kind, size: regex.replace(kind, "[AEIOU]", "<\\&>"), "regexp_replace(p_type, '([AEIOU])', '<\\1>')"),
+    col("re_replace_all", lambda name, kind, size: regex.replace(kind, "([AEIOU])", "\\1\\1", "g"), "regexp_replace(p_type, '([AEIOU])', '\\1\\1', 'g')"),
+    col("re_count", lambda name, kind, size: regex.count(kind, "e", 3, "i"), "len(regexp_extract_all(p_type[3:], '[eE]'))"),
+    col("re_instr", lambda name, kind, size: regex.instr(kind, "E[DL]"), "CASE WHEN regexp_matches(p_type, 'E[DL]') THEN length(regexp_extract(p_type, '^(.*?)E[DL]', 1)) + 1 ELSE 0 END"),
+    col("re_substr", lambda name, kind, size: regex.substr(kind, "[A-Z]+D"), "nullif(regexp_extract(p_type, '[A-Z]+D'), '')"),
+    col("re_substring_group", lambda name, kind, size: regex.substring(kind, "([A-Z]+)ED"), "CASE WHEN regexp_matches(p_type, '([A-Z]+)ED') THEN regexp_extract(p_type, '([A-Z]+)ED', 1) END"),
+    col("re_split", lambda name, kind, size: F.array_join(regex.split(kind, "[ E]+"), "|"), "array_to_string(string_split_regex(p_type, '[ E]+'), '|')"),
+    col("re_all_matches", lambda name, kind, size: F.array_join(F.transform(regex.all_matches(kind, "([A-Z])([AEIOU])"), lambda m: F.concat(F.get(m, 1), F.get(m, 0))), ","),
+        "coalesce(array_to_string(list_transform(regexp_extract_all(p_type, '[A-Z][AEIOU]'), lambda m: m[2] || m[1]), ','), '')"),
+    col("bit_ops", lambda name, kind, size: F.concat_ws(",", bits.and_(bits.from_int(size, 8), bits.from_int(F.col("p_partkey"), 8)), bits.xor(bits.from_int(size, 8), bits.from_int(F.col("p_partkey"), 8)), bits.not_(bits.from_int(size, 8)), bits.shift_left(bits.from_int(size, 8), 2)),
+        """concat_ws(',', right(CAST(CAST((p_size & (p_partkey % 256)) AS BIGINT)::BIT AS VARCHAR), 8), right(CAST(CAST(xor(p_size::BIGINT, p_partkey % 256) AS BIGINT)::BIT AS VARCHAR), 8), right(CAST(CAST(255 - p_size AS BIGINT)::BIT AS VARCHAR), 8), right(CAST(CAST(p_size * 4 % 256 AS BIGINT)::BIT AS VARCHAR), 8))"""),
+    col("bit_count", lambda name, kind, size: bits.bit_count(bits.from_int(size, 16)), "bit_count(p_size)::BIGINT"),
+    col("bytes_get", lambda name, kind, size: bits.get_byte(name.cast("binary"), 1), "ascii(p_name[2])"),
+]

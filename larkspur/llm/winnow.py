@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import keyed
+from larkspur.llm.common import MIN_LONG, checkpointed, keyed
 from larkspur.llm.quality import grams_of, let, words_of
 
 GRAM, WINDOW = 5, 4
@@ -49,7 +49,8 @@ def fingerprint(text: Column) -> Column:
 
 
 def hashes(keys: Column) -> Column:
-    return F.array_distinct(F.transform(keys, lambda k: F.shiftright(k, 31)))
+    """The distinct hashes, of 31 bits each."""
+    return F.array_distinct(F.transform(keys, lambda k: F.shiftright(k, 31).cast("int")))
 
 
 def positions(keys: Column) -> Column:
@@ -97,22 +98,39 @@ def neighbours(ids: DataFrame, count: int) -> DataFrame:
 
 def winnow(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id``, ``n_chars``, ``edited`` (its end replaced by the beginning of the next
-    document), the fingerprints of both as packed arrays, and their likenesses."""
+    document), the fingerprints of both as packed arrays, and their likenesses.
+
+    Texts are shuffled once, by key; Spark takes the same exchange for both sides
+    of the join.  A document hands the one before it as much of its beginning as
+    that one drops, and its hashes.
+    """
     text = F.coalesce(F.col("row.text"), F.lit(""))
-    base = keyed(docs).select("d", "tag", F.col("row.doc_id").alias("doc_id"), text.alias("text"))
-    own = base.withColumn("n_chars", F.length("text").cast("long")).withColumn("keys", fingerprint(F.col("text")))
-    ids = base.select("d", "tag", F.length("text").cast("long").alias("n_chars")).distinct()
-    near = neighbours(ids, docs.count())
-    linked = own.join(near.select("d", "tag", "prev"), ["d", "tag"])
-    # what a document hands to the one before it: as much of its beginning as that one drops, and its hashes
-    given = linked.select(
+    base = keyed(docs).select("d", "tag", text.alias("text"))
+    length = F.length("text").cast("long")
+    ids = checkpointed(base.groupBy("d", "tag").agg(F.max(length).alias("n_chars"), F.count("*").alias("times")))
+    total, once = ids.agg(F.count("*"), F.count(F.when(F.col("times") == 1, 1))).first()
+    near = neighbours(ids.drop("times"), total).select("d", "tag", "prev")
+    given = base.join(near, ["d", "tag"]).select(
         F.col("prev.d").alias("d"), F.col("prev.tag").alias("tag"),
-        F.expr("substring(text, 1, cast(prev.n_chars div 3 as int))").alias("head"), hashes(F.col("keys")).alias("next_hashes"),
-    ).dropDuplicates(["d", "tag"])
-    both = linked.join(given, ["d", "tag"])
-    edited = F.concat(F.expr("substring(text, 1, cast(n_chars - n_chars div 3 as int))"), F.col("head"))
-    both = both.withColumn("edited", edited).withColumn("edited_keys", fingerprint(F.col("edited")))
-    return both.select(
-        "doc_id", "n_chars", "edited", "keys", "edited_keys",
-        let(hashes(F.col("keys")), lambda h: F.struct(likeness(h, hashes(F.col("edited_keys"))).alias("near_edited"), likeness(h, F.col("next_hashes")).alias("near_next"))).alias("near"),
-    ).select("doc_id", "n_chars", "edited", "keys", "edited_keys", "near.*")
+        F.expr("substring(text, 1, cast(prev.n_chars div 3 as int))").alias("head"), hashes(fingerprint(F.col("text"))).alias("next_hashes"),
+    )
+    if once < total:  # a document given twice hands on once
+        given = given.dropDuplicates(["d", "tag"])
+    both = base.join(given, ["d", "tag"])
+    kept = F.substring("text", F.lit(1), (length - F.floor(length / 3)).cast("int"))
+    both = both.withColumn("edited", F.concat(kept, "head"))
+
+    def judge(keys: Column) -> Column:
+        def with_edited(edited: Column) -> Column:
+            def with_hashes(own: Column) -> Column:
+                return F.struct(
+                    keys.alias("keys"), edited.alias("edited_keys"),
+                    likeness(own, hashes(edited)).alias("near_edited"), likeness(own, F.col("next_hashes")).alias("near_next"),
+                )
+
+            return let(hashes(keys), with_hashes)
+
+        return let(fingerprint(F.col("edited")), with_edited)
+
+    both = both.select("d", length.alias("n_chars"), "edited", let(fingerprint(F.col("text")), judge).alias("f"))
+    return both.select(F.nullif("d", F.lit(MIN_LONG)).alias("doc_id"), "n_chars", "edited", "f.*")

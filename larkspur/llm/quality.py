@@ -143,7 +143,8 @@ def judged(measured: DataFrame, stats: str = "stats") -> Callable[[DataFrame], D
     votes = rules(F.col(stats))
     names = list(votes)
     counts = measured.groupBy(*[v.cast("int").alias(k) for k, v in votes.items()]).count().collect()  # <= 3 ** len(names)
-    odds, weights = estimate({tuple(r[k] for k in names): r["count"] for r in counts})
+    none = {(0,) * len(names): 0}
+    odds, weights = estimate({tuple(r[k] for k in names): r["count"] for r in counts} or none)
 
     def judge(df: DataFrame) -> DataFrame:
         s = F.col(stats)

@@ -1,3 +1,5 @@
+import os
+
 import pytest
 
 from larkspur.session import importable, local_session
@@ -7,7 +9,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, partitions=4)
+    session = local_session(os.environ.get("TEST_CORES", "4"), partitions=4)
     importable(session)
     yield session
     session.stop()

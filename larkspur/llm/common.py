@@ -29,12 +29,21 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the bytes of an Arrow batch as well as its rows: texts may be long."""
+    key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
+    now = spark.conf.get(key).strip().lower().removesuffix("b")
+    if not now.isdigit() or int(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``(d, tag, row)`` with the whole input row packed, so no extra column can clash."""
+    small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)).alias("d"),

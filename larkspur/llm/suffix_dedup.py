@@ -42,7 +42,7 @@ from larkspur.llm.common import RollingHash, concat_ranges, keyed, mixed, slices
 LENGTH = 100
 GRAM = 20
 #: Bytes of text that a task hashes at once, and of contexts in one suffix array.
-SLICE, SHARD = 2_000_000, 1_000_000
+SLICE, SHARD = 500_000, 1_000_000
 #: Contexts of one anchor that go to one shard.
 SALT = 4096
 POS_BITS, RUN_BITS = 31, 7
@@ -97,8 +97,8 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in slices(offsets, SLICE):
             whole = data[offsets[i] : offsets[j]]
             own = offsets[i : j + 1] - offsets[i]
-            for s in range(0, max(1, len(whole)), SLICE * 4):  # one long text at a time is cut, with overlap
-                part = whole if j - i > 1 else whole[s : s + SLICE * 4 + LENGTH - 1]
+            for s in range(0, max(1, len(whole)), SLICE):  # one long text at a time is cut, with overlap
+                part = whole if j - i > 1 else whole[s : s + SLICE + LENGTH - 1]
                 row, p, n, h, c = runs_of(part, own if j - i > 1 else np.array([0, len(part)]))
                 if len(row):
                     row = row + i
@@ -240,22 +240,19 @@ def suffix_array(data: np.ndarray) -> np.ndarray:
     """
     n, bits = len(data), 20
     mask = np.int64((1 << bits) - 1)
-    padded = np.concatenate([data, np.zeros(5, np.uint8)]).astype(np.int64)
+    padded = np.concatenate([data.astype(np.int64) + 1, np.zeros(4, np.int64)])  # the end is less than any byte
     key = np.zeros(n, np.int64)
-    for k in range(5):
-        key = (key << 8) | padded[k : k + n]
-    # a suffix that ends within five bytes must differ from one that goes on with zeros
+    for k in range(4):
+        key = (key << 9) | padded[k : k + n]
     packed = np.sort((key << bits) | np.arange(n))
     order = packed & mask
     head = np.ones(n, bool)
     head[1:] = (packed[1:] >> bits) != (packed[:-1] >> bits)
-    head |= order + 5 > n
-    head[1:] |= order[:-1] + 5 > n
     slot = np.arange(n)
     group = np.zeros(n + 1, np.int64)
     group[order] = np.maximum.accumulate(np.where(head, slot, 0))
     alone = head & np.append(head[1:], True)
-    active, h = np.flatnonzero(~alone), 5
+    active, h = np.flatnonzero(~alone), 4
     group += 1
     group[n] = 0
     while len(active):

@@ -13,7 +13,9 @@ _NULLS = "(SELECT *, CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_quantity EN
 
 def regressions(items: DataFrame) -> DataFrame:
     y, x = F.col("l_extendedprice"), F.col("l_quantity")
-    rounded = {k: v if k == "regr_count" else F.round(v, 3) for k, v in A.regression(y, x).items()}
+    # sums of squares in millions: their last digits depend on the order of addition
+    large = ("regr_sxx", "regr_syy", "regr_sxy")
+    rounded = {k: v if k == "regr_count" else F.round(v / 1e6, 1) if k in large else F.round(v, 3) for k, v in A.regression(y, x).items()}
     return items.groupBy("l_returnflag").agg(*[v.alias(k) for k, v in rounded.items()])
 
 
@@ -46,7 +48,8 @@ QUERIES: list[Query] = [
     sql("agg_variance", "lineitem", "SELECT l_linestatus, round(var_pop(l_quantity), 6) AS vp, round(var_samp(l_quantity), 6) AS vs, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss FROM lineitem GROUP BY l_linestatus"),
     frame("agg_corr_flat", "lineitem", correlation, """SELECT l_returnflag, CASE WHEN l_returnflag <> 'A' THEN round(corr(l_extendedprice, l_quantity), 6) END AS r FROM lineitem GROUP BY l_returnflag"""),
     sql("agg_covariance", "lineitem", "SELECT l_returnflag, round(covar_pop(l_extendedprice, l_quantity), 2) AS cp, round(covar_samp(l_extendedprice, l_quantity), 2) AS cs FROM lineitem GROUP BY l_returnflag"),
-    frame("agg_regression", "lineitem", regressions, "SELECT l_returnflag, " + ", ".join(f"round(regr_{k}(l_extendedprice, l_quantity), 3) AS regr_{k}" for k in ("avgx", "avgy", "sxx", "syy", "sxy", "slope", "intercept", "r2"))
+    frame("agg_regression", "lineitem", regressions, "SELECT l_returnflag, " + ", ".join(f"round(regr_{k}(l_extendedprice, l_quantity), 3) AS regr_{k}" for k in ("avgx", "avgy", "slope", "intercept", "r2"))
+        + ", " + ", ".join(f"round(regr_{k}(l_extendedprice, l_quantity) / 1e6, 1) AS regr_{k}" for k in ("sxx", "syy", "sxy"))
         + ", regr_count(l_extendedprice, l_quantity)::BIGINT AS regr_count FROM lineitem GROUP BY l_returnflag"),
     sql("agg_distinct", "lineitem", "SELECT l_returnflag, sum(DISTINCT l_quantity) AS s, count(DISTINCT l_linenumber) AS n, avg(DISTINCT l_linenumber) AS a FROM lineitem GROUP BY l_returnflag"),
     sql("agg_filter", "orders", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS f, round(sum(o_totalprice) FILTER (WHERE o_totalprice > 100000), 2) AS s FROM orders GROUP BY o_orderpriority"),

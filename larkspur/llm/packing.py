@@ -16,8 +16,10 @@ a running number in it, so a task that runs again gives the same rows.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -28,29 +30,55 @@ from tokenizers import Tokenizer
 
 CAPACITY = 2048
 END = 1
-#: Distinct words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Distinct words whose ids a worker remembers, from one task to the next.
+REMEMBERED = 800_000
+#: A mark of punctuation right after a letter of Latin-1: the tokenizer's pieces end there, so a space changes nothing.
+_AFTER_LETTER = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))")
 PIECES = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 )
 
 
 class WordCache:
-    """Ids of texts, word by word: the tokenizer drops white space and never looks across it."""
+    """Ids of texts, word by word: the tokenizer drops white space, never looks across it and
+    lower-cases, so ``The,`` has the ids of ``the`` and ``,``."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
         self.clear()
 
     def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        self.index: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.start = np.zeros(1 << 16, np.int64)
         self.length = np.zeros(1 << 16, np.int64)
         self.used = 0
 
-    def learn(self, words: list[str]) -> None:
-        encoded = [x.ids for x in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+    def ids_of(self, words: list[bytes]) -> list[list[int]]:
+        """Latin words go straight to the tokenizer's model: for lower-case letters in composed form
+        nothing comes before it but the spelling of bytes as characters."""
+        out: list[list[int]] = []
+        others: list[int] = []
+        tokenize = self.tokenizer.model.tokenize
+        for i, word in enumerate(words):
+            if word.isalpha():  # ASCII letters, in lower case unless a special token may lie near
+                text = word.lower().decode()
+            else:
+                text = word.decode()
+                if text.isalpha() and max(text) < "\u0250" and is_normalized("NFC", text):
+                    text = "".join([_SPELLING[b] for b in text.lower().encode()]) if max(text) <= "\xff" or text == text.lower() else ""
+                else:
+                    text = ""
+            out.append([t.id for t in tokenize(text)] if text else [])
+            if not text:
+                others.append(i)
+        found = self.tokenizer.encode_batch_fast([words[i].decode() for i in others], add_special_tokens=False)
+        for i, e in zip(others, found, strict=True):
+            out[i] = e.ids
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        encoded = self.ids_of(words)
         lengths = np.array([len(x) for x in encoded], np.int64)
         flat = np.array([i for x in encoded for i in x], np.uint32)
         n, first = len(words), len(self.index)
@@ -66,7 +94,10 @@ class WordCache:
         self.index.update(zip(words, range(first, first + n), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
-        words = text.split()
+        data = text.encode()
+        if b"<|" not in data:  # special tokens are as they are written
+            data = _AFTER_LETTER.sub(rb" \g<0>", data.lower())
+        words = data.split()  # at ASCII white space; the tokenizer sees to any other
         if not words:
             return np.zeros(0, np.uint32)
         at = list(map(self.index.get, words))
@@ -82,6 +113,24 @@ class WordCache:
         return self.ids[first + np.arange(total)]
 
 
+def _spelling() -> list[str]:
+    """How byte-level vocabularies write each byte: visible ones as themselves, the others from U+0100 on."""
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    hidden = [b for b in range(256) if b not in visible]
+    return [chr(b) if b in visible else chr(256 + hidden.index(b)) for b in range(256)]
+
+
+_SPELLING = _spelling()
+_caches: dict[str, WordCache] = {}
+
+
+def cached(path: str) -> WordCache:
+    """This worker's cache for a tokenizer file."""
+    if path not in _caches:
+        _caches[path] = WordCache(path)
+    return _caches[path]
+
+
 def cuts(tokens: int, capacity: int = CAPACITY) -> list[int]:
     """Piece lengths: full sequences, then the powers of two of what is left, longest first."""
     out = [capacity] * (tokens // capacity)
@@ -132,7 +181,7 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, w
         raise ValueError("the capacity must be a power of two")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordCache(path)
+        words = cached(path)
         context = TaskContext.get()
         bins = Bins(capacity, (context.partitionId() if context else 0) << 40)
         out: list[tuple] = []

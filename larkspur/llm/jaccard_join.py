@@ -7,17 +7,21 @@ texts, yet never expands a group of copies into pairs:
 1. Documents of equal sets are one class; its least document stands for it.
 2. Shingles are ordered rare first, by the number of documents that hold them
    (counted over all documents on a table of fixed size) and then by hash.  If
-   two sets link, their prefixes of ``n - ceil(percent * n / 100) + 1`` shingles
-   share one.  Prefixes are shuffled by shingle.
-3. Within a shingle's documents, sorted by set size, each is first paired with
-   the smallest that the length filter lets through (its hub); pairs pass the
-   positional filter and, once both sets meet, a suffix filter, and each is
-   verified once.  Components of these links settle a group of near copies.
+   two sets link, their prefixes of ``n - ceil(percent * n / 100) + l`` shingles
+   share ``l`` or more; ``l`` is the smaller of ``1 + n // SHARE``.  Prefixes are
+   shuffled by shingle.
+3. Within a shingle's documents each is first paired with a hub, the one of the
+   most common shingles that the length filter lets through.  Pairs that pass
+   the positional filter and share half of ``l`` that way are verified, each
+   once, behind a suffix filter.  Their components settle groups of near copies.
 4. A pair of one component needs no test.  Shingles whose documents lie in more
    than one component are joined again, each document outside the shingle's
-   largest component against those of other components, and those pairs are
-   verified likewise.  So each pair that shares a prefix shingle and passes the
-   filters is verified or already connected.
+   largest component against those of other components, and pairs that share
+   ``l`` shingles of their prefixes are verified likewise.  So each pair that can
+   link is verified or already connected.  Before the join, each document that
+   may still take part has those of its shingles counted that no other such
+   document holds: they can't be shared, and most outliers of a group of near
+   copies turn out unable to link with anything.
 
 Words are the runs of bytes other than ``\\x20 \\x09-\\x0D``, A-Z lower-cased.
 A text of fewer than ``k`` words has its whole sequence as one shingle.  Null
@@ -41,7 +45,10 @@ from larkspur.llm.common import RollingHash, checkpointed, components, keyed, mi
 
 #: Counters of the frequency table: its size is fixed, so it can be broadcast.
 SKETCH_BITS = 18
-SLICE = 2_000_000
+#: Bytes of text that a task hashes at once.
+SLICE = 500_000
+#: A pair shares one shingle of the prefixes, and one more for each so many of the smaller set.
+SHARE = 20
 #: Followers of a hub that are verified in one place, and targets listed in one row.
 FOLLOWERS, TARGETS = 512, 1024
 #: Rows of one shingle that are held until its end is seen.
@@ -59,8 +66,6 @@ Batches = Iterator[pa.RecordBatch]
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A hash for each word, and where each row's words begin and end among them."""
-    if not len(data):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
     word = ~_space[data]
     bound = np.zeros(len(data) + 1, bool)
     bound[offsets] = True
@@ -70,9 +75,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mixed(_words.of(_words.sums(_lower[data]), start, end)), np.searchsorted(start, offsets)
 
 
+def long_word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for one long text, in pieces that end at white space."""
+    parts, i = [np.zeros(0, np.uint64)], 0
+    while i < len(data):
+        j = min(len(data), i + SLICE)
+        while j < len(data) and not _space[data[j]]:
+            near = np.flatnonzero(_space[data[j : j + SLICE]])
+            j = j + int(near[0]) if len(near) else min(len(data), j + SLICE)
+        parts.append(word_hashes(data[i:j], np.array([0, j - i]))[0])
+        i = j
+    words = np.concatenate(parts)
+    return words, np.array([0, len(words)])
+
+
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> list[np.ndarray]:
     """The sorted hashes of each row's distinct shingles."""
-    words, rows = word_hashes(data, offsets)
+    words, rows = word_hashes(data, offsets) if len(data) <= SLICE else long_word_hashes(data)
     chain = words.copy()
     for t in range(1, k):
         chain = mixed(chain[: len(words) - t] * _ODD + words[t:]) if len(words) > t else chain[:0]
@@ -137,7 +156,8 @@ def frequencies(k: int) -> Callable[[Batches], Batches]:
 
 
 def prefixes(k: int, percent: int, sketch) -> Callable[[Batches], Batches]:
-    """``(token, d, tag, n, pos)``: the rarest shingles of each set, with their places."""
+    """``(token, d, tag, n, pos, score)``: the rarest shingles of each set, with their places;
+    ``score`` says how common its shingles are on the whole."""
 
     def run(batches: Batches) -> Batches:
         count = sketch.value
@@ -146,7 +166,7 @@ def prefixes(k: int, percent: int, sketch) -> Callable[[Batches], Batches]:
             for r, s in sets_in(batch, k):
                 n = len(s)
                 if n:
-                    p = n - (-(-percent * n // 100)) + 1
+                    p = n - (-(-percent * n // 100)) + 1 + n // SHARE
                     rarity = count[(s & np.uint64((1 << SKETCH_BITS) - 1)).astype(np.int64)]
                     if p < n:
                         near = np.argpartition(rarity, p - 1)
@@ -154,7 +174,7 @@ def prefixes(k: int, percent: int, sketch) -> Callable[[Batches], Batches]:
                     else:
                         near = np.arange(n)
                     near = near[np.argsort(rarity[near], kind="stable")][:p]  # equals keep the order of hashes
-                    parts.append((s[near], r, n))
+                    parts.append((s[near], r, n, min(int(rarity.mean() * 100), 2**31 - 1)))
             if parts:
                 lengths = [len(x[0]) for x in parts]
                 row = np.repeat([x[1] for x in parts], lengths)
@@ -163,71 +183,71 @@ def prefixes(k: int, percent: int, sketch) -> Callable[[Batches], Batches]:
                         pa.array(np.concatenate([x[0] for x in parts]).view(np.int64)),
                         batch.column("d").take(pa.array(row)),
                         batch.column("tag").take(pa.array(row)),
-                        pa.array(np.repeat([x[2] for x in parts], lengths).astype(np.int32)),
+                        pa.array(np.repeat([x[2] for x in parts], lengths).astype(np.int64)),
                         pa.array(np.concatenate([np.arange(x) for x in lengths]).astype(np.int32)),
+                        pa.array(np.repeat([x[3] for x in parts], lengths).astype(np.int32)),
                     ],
-                    names=["token", "d", "tag", "n", "pos"],
+                    names=["token", "d", "tag", "n", "pos", "score"],
                 )
 
     return run
 
 
 def hubs(percent: int) -> Callable[[Batches], Batches]:
-    """Rows in order of ``(token, n, d, tag)``, without tokens of one document, each
-    with the smallest document of its token that the length filter lets through."""
+    """Rows in order of ``token``, without tokens of one document, each with its hub.
+
+    A token's documents are held until its end is seen; of more than ``HELD``
+    the part seen is passed on, and the hubs found stay for the rest.
+    """
     names = ["token", "d", "tag", "n", "pos"]
 
+    def assign(heads: list[tuple], d: np.ndarray, tag: np.ndarray, n: np.ndarray, pos: np.ndarray, score: np.ndarray) -> np.ndarray:
+        """Which of ``heads`` each row gets; new ones are added to it."""
+        of = np.full(len(n), -1)
+        k = 0
+        while True:
+            left = of < 0
+            if k == len(heads):
+                if not left.any():
+                    return of
+                i = int(np.argmax(np.where(left, score, -1)))
+                heads.append((d[i], tag[i], n[i], pos[i]))
+            hn = heads[k][2]
+            of[left & (100 * n >= percent * hn) & (100 * hn >= percent * n)] = k
+            k += 1
+
     def run(batches: Batches) -> Batches:
         held: pa.Table | None = None
-        going = None  # token and hub of a group of which a part is gone
+        going: tuple | None = None  # token and hubs of a group of which a part is gone
 
-        def groups(rows: pa.Table, whole: bool):
-            """Rows of all groups but the last one, which is held unless large or at the end."""
+        def groups(rows: pa.Table, whole: bool) -> Batches:
+            """All groups but the last one, which is held unless it is large or the end is reached."""
             nonlocal going, held
-            token, d, tag, n, pos = (rows.column(x).to_numpy() for x in names)
+            token, d, tag, n, pos, score = (rows.column(x).to_numpy() for x in (*names, "score"))
+            n = n.astype(np.int64)
             cuts = np.append(np.flatnonzero(np.append(True, token[1:] != token[:-1])), len(token))
-            sizes = np.diff(cuts)
+            last = len(cuts) - 2
+            part = not whole and cuts[-1] - cuts[-2] > HELD
             held = None
-            part = False
-            if not whole:
-                if sizes[-1] <= HELD:
-                    held = rows.slice(cuts[-2])
-                    cuts, sizes = cuts[:-1], sizes[:-1]
-                else:
-                    part = True
-            use = np.flatnonzero(sizes > 1)
-            first = going is not None and len(sizes) and token[0] == going[0]
-            if first and (not len(use) or use[0] != 0):
-                use = np.append(0, use)
-            if part and (not len(use) or use[-1] != len(sizes) - 1):
-                use = np.append(use, len(sizes) - 1)
-            index, hub = [], []
-            heads: list[tuple] = []
-            for g in use:
+            if not whole and not part:
+                held, last = rows.slice(cuts[-2]), last - 1
+            index, of, found = [], [], []
+            for g in range(last + 1):
                 i, j = int(cuts[g]), int(cuts[g + 1])
-                lead = going[1] if first and g == 0 else None
-                while i < j:
-                    if lead is None:
-                        lead = (d[i], tag[i], n[i], pos[i])
-                    e = i + int(np.searchsorted(n[i:j], lead[2] * 100 // percent, "right"))
-                    if e > i:
-                        index.append(np.arange(i, e))
-                        hub.append((len(heads), e - i))
-                        heads.append(lead)
-                    i, last, lead = e, lead, None
-                going_now = (token[j - 1], last)
-            if len(sizes):
-                going = going_now if part else None
+                heads = going[1] if going is not None and going[0] == token[i] else []
+                if j - i > 1 or heads or (part and g == last):
+                    own = assign(heads, *(x[i:j] for x in (d, tag, n, pos, score)))
+                    index.append(np.arange(i, j))
+                    of.append(own + len(found))
+                    found += heads
+                going = (token[i], heads) if part and g == last else None
             if index:
-                at = pa.array(np.concatenate(index))
-                of = np.repeat([x[0] for x in hub], [x[1] for x in hub])
-                hd, ht, hn, hp = (np.array(x)[of] for x in zip(*heads, strict=True))
-                out = rows.take(at).combine_chunks().to_batches()
-                if out:
-                    yield pa.RecordBatch.from_arrays(
-                        [*out[0].columns, pa.array(hd.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in (ht, hn, hp))],
-                        names=[*names, "hd", "htag", "hn", "hpos"],
-                    )
+                out = rows.select(names).take(pa.array(np.concatenate(index))).combine_chunks().to_batches()[0]
+                hd, ht, hn, hp = (np.array(x)[np.concatenate(of)] for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [*out.columns, pa.array(hd.astype(np.int64)), pa.array(ht.astype(np.int32)), pa.array(hn.astype(np.int64)), pa.array(hp.astype(np.int32))],
+                    names=[*names, "hd", "htag", "hn", "hpos"],
+                )
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -241,6 +261,21 @@ def hubs(percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def all_shingles(k: int) -> Callable[[Batches], Batches]:
+    """``(token, d, tag)`` for every shingle of the given documents."""
+
+    def run(batches: Batches) -> Batches:
+        for batch in batches:
+            for r, s in sets_in(batch, k):
+                if len(s):
+                    at = pa.array(np.full(len(s), r))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(s.view(np.int64)), batch.column("d").take(at), batch.column("tag").take(at)], names=["token", "d", "tag"]
+                    )
+
+    return run
+
+
 def passes(percent: int, na: Column, pa_: Column, nb: Column, pb: Column) -> Column:
     """Length and positional filters for a shared shingle at these places of two ordered sets."""
     # before the shared places at most min(pos) are common, from there on at most what is left of either
@@ -250,6 +285,11 @@ def passes(percent: int, na: Column, pa_: Column, nb: Column, pb: Column) -> Col
     )
 
 
+def least_shared(na: Column, nb: Column) -> Column:
+    """Shingles of their prefixes that two sets must share to link."""
+    return F.lit(1) + F.floor(F.least(na, nb) / F.lit(SHARE))
+
+
 def ship(k: int) -> Callable[[Batches], Batches]:
     """The set of each document asked for, once for each place where it is verified."""
     names = ["hd", "htag", "salt", "role", "d", "tag", "body"]
@@ -370,17 +410,19 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     reps = firsts.select(F.col("first.d").alias("d"), F.col("first.tag").alias("tag"))
     live = checkpointed(
         texts.join(reps, ["d", "tag"])
-        .mapInArrow(prefixes(k, percent, sketch), "token long, d long, tag int, n int, pos int")
+        .mapInArrow(prefixes(k, percent, sketch), "token long, d long, tag int, n long, pos int, score int")
         .repartition("token")
-        .sortWithinPartitions("token", "n", "d", "tag")
-        .mapInArrow(hubs(percent), "token long, d long, tag int, n int, pos int, hd long, htag int, hn int, hpos int")
+        .sortWithinPartitions("token", "d", "tag")
+        .mapInArrow(hubs(percent), "token long, d long, tag int, n long, pos int, hd long, htag int, hn long, hpos int")
     )
     c = F.col
     star = (
         live.where((c("d") != c("hd")) | (c("tag") != c("htag")))
         .where(passes(percent, c("n"), c("pos"), c("hn"), c("hpos")))
+        .groupBy("hd", "htag", "d", "tag")
+        .agg(F.count("*").alias("shared"), F.min(least_shared(c("n"), c("hn"))).alias("least"))
+        .where("2 * shared >= least")
         .select("hd", "htag", "d", "tag")
-        .distinct()
     )
     links = checkpointed(verify(star, texts, k, percent))
     settled = components(links.select(node("hd", "htag").alias("a"), node("d", "tag").alias("b")))
@@ -391,14 +433,36 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     torn = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("big"), F.count("*").alias("parts"))
     torn = torn.where("parts > 1").select("token", F.col("big.component").alias("big"))
     rows = checkpointed(rows.join(torn, "token"))
+    # who shares enough of its prefix to link with a set of the least size allowed
+    own_n = F.first("n")
+    enough = F.count("*") >= F.lit(1) + F.floor(F.ceil(F.lit(percent) * own_n / 100) / F.lit(SHARE))
+    able = rows.groupBy("node").agg(own_n.alias("n"), enough.alias("enough")).where("enough")
+    able = able.select("node", F.col("node.d").alias("d"), F.col("node.tag").alias("tag"))
+    single = (
+        texts.join(able.select("d", "tag"), ["d", "tag"])
+        .mapInArrow(all_shingles(k), "token long, d long, tag int")
+        .groupBy("token")
+        .agg(F.count("*").alias("m"), F.min("d").alias("d"), F.min("tag").alias("tag"))
+        .where("m = 1")
+        .groupBy("d", "tag")
+        .agg(F.count("*").alias("alone"))
+    )
+    able = able.join(single, ["d", "tag"], "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+    rows = rows.join(able, "node").withColumn("common", F.col("n") - F.col("alone"))
+    # of its own size n, a set links at best with one of ceil(percent * n / 100), and shares no more than `common`
+    least_n = F.ceil(F.lit(percent) * F.col("n") / 100)
+    rows = checkpointed(rows.where(F.lit(100 + percent) * F.col("common") >= F.lit(percent) * (F.col("n") + least_n)))
     one, other = rows.where("component <> big").alias("x"), rows.alias("y")
     rest = (
         one.join(other, "token")
         .where("x.component <> y.component")
         .where("y.component = y.big or x.node < y.node")
         .where(passes(percent, c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
-        .select(F.col("y.node.d").alias("hd"), F.col("y.node.tag").alias("htag"), F.col("x.node.d").alias("d"), F.col("x.node.tag").alias("tag"))
-        .distinct()
+        .where(F.lit(100 + percent) * F.least("x.common", "y.common") >= F.lit(percent) * (c("x.n") + c("y.n")))
+        .groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+        .agg(F.count("*").alias("shared"), F.min(least_shared(c("x.n"), c("y.n"))).alias("least"))
+        .where("shared >= least")
+        .select(c("a.d").alias("hd"), c("a.tag").alias("htag"), c("b.d").alias("d"), c("b.tag").alias("tag"))
     )
     tried = star.union(star.select("d", "tag", "hd", "htag"))
     rest = rest.join(tried, ["hd", "htag", "d", "tag"], "left_anti")

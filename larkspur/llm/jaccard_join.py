@@ -21,7 +21,8 @@ texts, yet never expands a group of copies into pairs:
    link is verified or already connected.  Before the join, each document that
    may still take part has those of its shingles counted that no other such
    document holds: they can't be shared, and most outliers of a group of near
-   copies turn out unable to link with anything.
+   copies turn out unable to link with anything.  Pairs also pass a bitmap
+   filter: signatures bound from below in how many shingles two sets differ.
 
 Words are the runs of bytes other than ``\\x20 \\x09-\\x0D``, A-Z lower-cased.
 A text of fewer than ``k`` words has its whole sequence as one shingle.  Null
@@ -51,6 +52,8 @@ SLICE = 500_000
 SHARE = 20
 #: Followers of a hub that are verified in one place, and targets listed in one row.
 FOLLOWERS, TARGETS = 512, 1024
+#: Words of 64 bits in a set's signature.
+SIGNS = 8
 #: Rows of one shingle that are held until its end is seen.
 HELD = 50_000
 
@@ -120,18 +123,26 @@ def sets_in(batch: pa.RecordBatch, k: int, only: np.ndarray | None = None) -> It
 
 
 def profiles(k: int) -> Callable[[Batches], Batches]:
-    """Size and two order-free digests of each set."""
+    """Size, two order-free digests and a signature of each set.
+
+    Bit ``b`` of the signature is the parity of the elements that fall on it, so
+    two sets differ in at least as many elements as their signatures in bits.
+    """
 
     def run(batches: Batches) -> Batches:
         for batch in batches:
             n, s1, s2 = (np.zeros(len(batch), np.int64) for _ in range(3))
+            signs = np.zeros((len(batch), SIGNS), np.uint64)
             for r, s in sets_in(batch, k):
                 if len(s):
                     n[r] = len(s)
                     s1[r] = np.add.reduce(mixed(s)).view(np.int64)
                     s2[r] = np.bitwise_xor.reduce(mixed(s * _ODD)).view(np.int64)
+                    odd = np.bincount((s >> np.uint64(64 - (64 * SIGNS).bit_length() + 1)).astype(np.int64), minlength=64 * SIGNS) & 1
+                    signs[r] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("d"), batch.column("tag"), *map(pa.array, (n, s1, s2))], names=["d", "tag", "n", "s1", "s2"]
+                [batch.column("d"), batch.column("tag"), *map(pa.array, (n, s1, s2)), *(pa.array(signs[:, i].view(np.int64)) for i in range(SIGNS))],
+                names=["d", "tag", "n", "s1", "s2", *(f"sign{i}" for i in range(SIGNS))],
             )
 
     return run
@@ -396,7 +407,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     spark = docs.sparkSession
     base = keyed(docs)
     texts = base.select("d", "tag", F.col("row.text").alias("text"))
-    profile = checkpointed(texts.mapInArrow(profiles(k), "d long, tag int, n long, s1 long, s2 long").where("n > 0").distinct())
+    signs = [f"sign{i}" for i in range(SIGNS)]
+    profile = checkpointed(texts.mapInArrow(profiles(k), "d long, tag int, n long, s1 long, s2 long, " + ", ".join(f"{x} long" for x in signs)).where("n > 0").distinct())
     firsts = profile.groupBy("n", "s1", "s2").agg(F.min(node("d", "tag")).alias("first"))
     copies = profile.join(firsts, ["n", "s1", "s2"]).select("first", node("d", "tag").alias("own"))
 
@@ -447,18 +459,21 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         .groupBy("d", "tag")
         .agg(F.count("*").alias("alone"))
     )
-    able = able.join(single, ["d", "tag"], "left").select("node", F.coalesce("alone", F.lit(0)).alias("alone"))
+    able = able.join(single, ["d", "tag"], "left").join(profile.select("d", "tag", *signs), ["d", "tag"])
+    able = able.select("node", F.coalesce("alone", F.lit(0)).alias("alone"), *signs)
     rows = rows.join(able, "node").withColumn("common", F.col("n") - F.col("alone"))
     # of its own size n, a set links at best with one of ceil(percent * n / 100), and shares no more than `common`
     least_n = F.ceil(F.lit(percent) * F.col("n") / 100)
     rows = checkpointed(rows.where(F.lit(100 + percent) * F.col("common") >= F.lit(percent) * (F.col("n") + least_n)))
     one, other = rows.where("component <> big").alias("x"), rows.alias("y")
+    apart = sum((F.bit_count(c(f"x.{w}").bitwiseXOR(c(f"y.{w}"))) for w in signs), F.lit(0))
     rest = (
         one.join(other, "token")
         .where("x.component <> y.component")
         .where("y.component = y.big or x.node < y.node")
         .where(passes(percent, c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
         .where(F.lit(100 + percent) * F.least("x.common", "y.common") >= F.lit(percent) * (c("x.n") + c("y.n")))
+        .where(F.lit(100 + percent) * (c("x.n") + c("y.n") - apart) >= F.lit(2 * percent) * (c("x.n") + c("y.n")))
         .groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
         .agg(F.count("*").alias("shared"), F.min(least_shared(c("x.n"), c("y.n"))).alias("least"))
         .where("shared >= least")

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import RollingHash, checkpointed, components, keyed, mixed, slices, utf8
+from larkspur.llm.common import RollingHash, checkpointed, components, keyed, mixed, slices, utf8, written
 
 #: Counters of the frequency table: its size is fixed, so it can be broadcast.
 SKETCH_BITS = 18
@@ -420,7 +420,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sketch = spark.sparkContext.broadcast(sketch)
 
     reps = firsts.select(F.col("first.d").alias("d"), F.col("first.tag").alias("tag"))
-    live = checkpointed(
+    live = written(
         texts.join(reps, ["d", "tag"])
         .mapInArrow(prefixes(k, percent, sketch), "token long, d long, tag int, n long, pos int, score int")
         .repartition("token")
@@ -444,7 +444,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     sizes = rows.groupBy("token", "component").agg(F.count("*").alias("m"))
     torn = sizes.groupBy("token").agg(F.max(F.struct("m", "component")).alias("big"), F.count("*").alias("parts"))
     torn = torn.where("parts > 1").select("token", F.col("big.component").alias("big"))
-    rows = checkpointed(rows.join(torn, "token"))
+    rows = written(rows.join(torn, "token"))
     # who shares enough of its prefix to link with a set of the least size allowed
     own_n = F.first("n")
     enough = F.count("*") >= F.lit(1) + F.floor(F.ceil(F.lit(percent) * own_n / 100) / F.lit(SHARE))
@@ -464,7 +464,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     rows = rows.join(able, "node").withColumn("common", F.col("n") - F.col("alone"))
     # of its own size n, a set links at best with one of ceil(percent * n / 100), and shares no more than `common`
     least_n = F.ceil(F.lit(percent) * F.col("n") / 100)
-    rows = checkpointed(rows.where(F.lit(100 + percent) * F.col("common") >= F.lit(percent) * (F.col("n") + least_n)))
+    rows = written(rows.where(F.lit(100 + percent) * F.col("common") >= F.lit(percent) * (F.col("n") + least_n)))
     one, other = rows.where("component <> big").alias("x"), rows.alias("y")
     apart = sum((F.bit_count(c(f"x.{w}").bitwiseXOR(c(f"y.{w}"))) for w in signs), F.lit(0))
     rest = (

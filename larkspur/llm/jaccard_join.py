@@ -474,7 +474,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
         .where(passes(percent, c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
         .where(F.lit(100 + percent) * F.least("x.common", "y.common") >= F.lit(percent) * (c("x.n") + c("y.n")))
         .where(F.lit(100 + percent) * (c("x.n") + c("y.n") - apart) >= F.lit(2 * percent) * (c("x.n") + c("y.n")))
-        .groupBy(F.col("y.node").alias("a"), F.col("x.node").alias("b"))
+        .groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))  # tokens differ in which is x
         .agg(F.count("*").alias("shared"), F.min(least_shared(c("x.n"), c("y.n"))).alias("least"))
         .where("shared >= least")
         .select(c("a.d").alias("hd"), c("a.tag").alias("htag"), c("b.d").alias("d"), c("b.tag").alias("tag"))

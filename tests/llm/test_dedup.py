@@ -138,3 +138,19 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101)], "a long, b long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {i: 0 for i in range(1, 41)} | {101: 100} or got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
+
+
+def test_op10_contained_sets_of_two_clusters(spark):
+    """A link at the threshold between clusters whose rare shingles have hubs and largest components of either side."""
+    common, one, two = ([f"{x}{i}" for i in range(n)] for x, n in (("c", 840), ("r", 30), ("s", 30)))
+    extra, mine, yours = ([f"{x}{i}" for i in range(n)] for x, n in (("q", 100), ("m", 40), ("y", 20)))
+    rows = [(1, common + one + two), (2, common + one + two + extra)]
+    rows += [(10 + i, common + one + mine + [f"a{i}"]) for i in range(3)]  # link with 1 alone
+    rows += [(20 + i, common + two + extra[:70] + yours + [f"b{i}"]) for i in range(3)]  # link with 2 alone
+    rows += [(100 + i, mine + yours + [f"f{i}x{j}" for j in range(40)]) for i in range(40)]  # what makes those the hubs
+    rows = [(i, " ".join(words)) for i, words in rows]
+    expected = linked(rows, 1, 90)
+    assert {expected[i][1] for i in (1, 2, 10, 20)} == {1} and len({c for _, c in linked(rows[1:], 1, 90).values()}) == 42
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_join(df, 1, 90).select(F.col("row.doc_id").alias("id"), "n_shingles", "component_id").collect()}
+    assert got == expected

@@ -22,7 +22,8 @@ No group is collected: the shuffles by anchor and by window are streamed in
 sorted order, and what is gathered per document is bounded by its length.
 
 Null texts are empty; texts under ``length`` bytes lose nothing; an empty table
-gives no rows.  Rows that repeat ``doc_id`` and text get the same result twice;
+gives no rows.  Rows that repeat ``doc_id`` and text are one document given
+twice: each gets its result, and they don't count as repeats of one another;
 rows that repeat ``doc_id`` alone are ordered by a checksum of their texts.  A
 null ``doc_id`` comes before all others.  Extra columns are kept in ``row``.
 """
@@ -114,11 +115,13 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of ``(h, c, d, tp)`` to the runs that may repeat: ``ord`` is -1
     where the context has come before, else its number among the anchor's contexts.
+    A run that comes again with the same ``(d, tp)`` is of a document given twice.
 
-    The state between batches is one row: the first context of the current
-    anchor, which counts only once a second one follows.
+    The state between batches is the row before and the first context of the
+    current anchor, which counts only once a second one follows.
     """
     h0 = c0 = None
+    before = None  # the row before
     held = None  # (h, d, tp) of a first context so far alone
     count = 0
 
@@ -127,6 +130,12 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         h, c, d, tp = (batch.column(x).to_numpy() for x in ("h", "c", "d", "tp"))
+        if not len(h):
+            continue
+        rows = np.array([h, c, d, tp])
+        new = np.append(True if before is None else (rows[:, 0] != before).any(), (rows[:, 1:] != rows[:, :-1]).any(axis=0))
+        before = rows[:, -1]
+        h, c, d, tp = rows[:, new]
         if not len(h):
             continue
         new_h = np.ones(len(h), bool)
@@ -186,7 +195,7 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = 0
         for r in where:
             d, tag = batch.column("d")[r].as_py(), batch.column("tag")[r].as_py()
-            if (d, tag) in seen:  # the document is given twice
+            if (d, tag) in seen:  # the document is given twice; the shards drop what other batches repeat
                 continue
             seen.add((d, tag))
             data = (text[r].as_py() or "").encode()
@@ -303,7 +312,7 @@ def kasai(data: np.ndarray, order: np.ndarray, starts: np.ndarray, lengths: np.n
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of ``(k1, k2, kind)``, to ranges that go (kind 0) and, for anchors
+    """Rows in order of ``(k1, k2, kind, d, tp)``, to ranges that go (kind 0) and, for anchors
     in several shards, first windows (kind 3, keyed by two hashes)."""
     pieces: list = []  # (d, tp, body, whether the anchor has other shards)
     size = 0
@@ -328,7 +337,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, split, own, own_size = now, k2[i] > 0, [], 0
             if kind[r] == 1:
                 split = True
-            else:
+            elif not own or own[-1][:2] != (d[i], tp[i]):
                 b = body[r].as_py()
                 own.append((d[i], tp[i], b, split))
                 own_size += len(b)
@@ -470,7 +479,7 @@ def suffix_dedup(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
         base.join(found, ["d", "tag"], "left")
         .mapInArrow(cut, CUT)
         .repartition("k1", "k2")
-        .sortWithinPartitions("k1", "k2", "kind")
+        .sortWithinPartitions("k1", "k2", "kind", "d", "tp")
         .mapInArrow(shards, CUT)
         .repartition("k1", "k2")
         .sortWithinPartitions("k1", "k2", "d", "tp")

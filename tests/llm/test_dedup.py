@@ -57,6 +57,21 @@ def test_op1_odd_rows(odd, none):
     assert S.suffix_dedup(none).count() == 0
 
 
+def test_op1_documents_given_twice(spark, monkeypatch):
+    rng = random.Random(3)
+    one, two, tail = (" ".join(f"{rng.randrange(10**9)}" for _ in range(n)) for n in (60, 80, 40))
+    texts = [(1, one), (2, two + tail), (None, tail + two), (4, two[:500] + one + "x"), (5, "short")]
+    order = sorted(texts, key=lambda r: -1 if r[0] is None else r[0])
+    expected = dict(zip((i for i, _ in order), repeats(order), strict=True))
+    for salt, times, size in ((4096, 2, 10000), (1, 2, 10000), (4096, 30, 2)):
+        monkeypatch.setattr(S, "SALT", salt)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(size))  # so that copies lie in several batches
+        out = S.suffix_dedup(spark.createDataFrame(texts * times, "doc_id long, text string")).select("row.doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)).collect()
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        assert len(out) == len(texts) * times
+        assert all(tuple(r[1:]) == expected[r[0]] for r in out)
+
+
 def by_text(df, i):
     return df.where(F.col("doc_id") == i).first()["text"]
 

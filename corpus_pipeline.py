@@ -28,8 +28,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    # rows that repeat id and text are one document given twice
-    return jaccard_join(docs, k=5, percent=80).where("stays").dropDuplicates(["d", "tag"]).select("row.*")
+    # rows that repeat id and whole text are one document given twice
+    stay = jaccard_join(docs, k=5, percent=80).where("stays").withColumn("whole", F.sha2("row.text", 256))
+    return stay.dropDuplicates(["d", "tag", "whole"]).select("row.*")
 
 
 def exact_substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

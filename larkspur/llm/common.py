@@ -1,7 +1,7 @@
 """Shared pieces of the corpus operators: document keys, byte hashing, components.
 
 Documents are told apart by ``(d, tag)``: ``d`` is ``doc_id`` (a null counts as
-the smallest long) and ``tag`` is twenty bits of the text's CRC-32, so rows that
+the smallest long) and ``tag`` is a 64-bit hash of the whole text, so rows that
 share a ``doc_id`` but differ in text stay apart, and rows that repeat both are
 one document given twice.
 """
@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_LONG = -(1 << 63)
-TAG_BITS = 20
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -58,7 +57,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
         F.coalesce(F.col("doc_id").cast("long"), F.lit(MIN_LONG)).alias("d"),
-        F.crc32(text.cast("binary")).bitwiseAND((1 << TAG_BITS) - 1).cast("int").alias("tag"),
+        F.xxhash64(text).alias("tag"),
         F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"),
     )
 

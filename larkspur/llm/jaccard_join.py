@@ -256,7 +256,7 @@ def hubs(percent: int) -> Callable[[Batches], Batches]:
                 out = rows.select(names).take(pa.array(np.concatenate(index))).combine_chunks().to_batches()[0]
                 hd, ht, hn, hp = (np.array(x)[np.concatenate(of)] for x in zip(*found, strict=True))
                 yield pa.RecordBatch.from_arrays(
-                    [*out.columns, pa.array(hd.astype(np.int64)), pa.array(ht.astype(np.int32)), pa.array(hn.astype(np.int64)), pa.array(hp.astype(np.int32))],
+                    [*out.columns, pa.array(hd.astype(np.int64)), pa.array(ht.astype(np.int64)), pa.array(hn.astype(np.int64)), pa.array(hp.astype(np.int32))],
                     names=[*names, "hd", "htag", "hn", "hpos"],
                 )
 
@@ -324,7 +324,7 @@ def ship(k: int) -> Callable[[Batches], Batches]:
                 yield shipped(rows)
 
     def shipped(rows: list[list]) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.binary()]
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(rows, kinds, strict=True)], names=names)
 
     return run
@@ -362,14 +362,14 @@ def verified(percent: int) -> Callable[[Batches], Batches]:
                         out.append((hd, htag, d, tag))
             if out:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out, strict=True), [pa.int64(), pa.int32()] * 2, strict=True)],
+                    [pa.array(x, pa.int64()) for x in zip(*out, strict=True)],
                     names=["hd", "htag", "d", "tag"],
                 )
 
     return run
 
 
-LINKS = "hd long, htag int, d long, tag int"
+LINKS = "hd long, htag long, d long, tag long"
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
@@ -390,7 +390,7 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     asked = asked.groupBy("d", "tag", (F.col("t.salt") / TARGETS).cast("int").alias("part")).agg(F.collect_list("t").alias("targets"))
     return (
         texts.join(asked, ["d", "tag"])
-        .mapInArrow(ship(k), "hd long, htag int, salt int, role int, d long, tag int, body binary")
+        .mapInArrow(ship(k), "hd long, htag long, salt int, role int, d long, tag long, body binary")
         .repartition("hd", "htag", "salt")
         .sortWithinPartitions("hd", "htag", "salt", "role")
         .mapInArrow(verified(percent), LINKS)
@@ -408,7 +408,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     base = keyed(docs)
     texts = base.select("d", "tag", F.col("row.text").alias("text"))
     signs = [f"sign{i}" for i in range(SIGNS)]
-    profile = checkpointed(texts.mapInArrow(profiles(k), "d long, tag int, n long, s1 long, s2 long, " + ", ".join(f"{x} long" for x in signs)).where("n > 0").distinct())
+    profile = checkpointed(texts.mapInArrow(profiles(k), "d long, tag long, n long, s1 long, s2 long, " + ", ".join(f"{x} long" for x in signs)).where("n > 0").distinct())
     firsts = profile.groupBy("n", "s1", "s2").agg(F.min(node("d", "tag")).alias("first"))
     copies = profile.join(firsts, ["n", "s1", "s2"]).select("first", node("d", "tag").alias("own"))
 
@@ -422,10 +422,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     reps = firsts.select(F.col("first.d").alias("d"), F.col("first.tag").alias("tag"))
     live = written(
         texts.join(reps, ["d", "tag"])
-        .mapInArrow(prefixes(k, percent, sketch), "token long, d long, tag int, n long, pos int, score int")
+        .mapInArrow(prefixes(k, percent, sketch), "token long, d long, tag long, n long, pos int, score int")
         .repartition("token")
         .sortWithinPartitions("token", "d", "tag")
-        .mapInArrow(hubs(percent), "token long, d long, tag int, n long, pos int, hd long, htag int, hn long, hpos int")
+        .mapInArrow(hubs(percent), "token long, d long, tag long, n long, pos int, hd long, htag long, hn long, hpos int")
     )
     c = F.col
     star = (
@@ -452,7 +452,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     able = able.select("node", F.col("node.d").alias("d"), F.col("node.tag").alias("tag"))
     single = (
         texts.join(able.select("d", "tag"), ["d", "tag"])
-        .mapInArrow(all_shingles(k), "token long, d long, tag int")
+        .mapInArrow(all_shingles(k), "token long, d long, tag long")
         .groupBy("token")
         .agg(F.count("*").alias("m"), F.min("d").alias("d"), F.min("tag").alias("tag"))
         .where("m = 1")

@@ -46,7 +46,7 @@ GRAM = 20
 SLICE, SHARD = 500_000, 1_000_000
 #: Contexts of one anchor that go to one shard.
 SALT = 4096
-POS_BITS, RUN_BITS = 31, 7
+RUN_BITS = 7
 
 _one, _two = RollingHash(11), RollingHash(23)
 
@@ -91,10 +91,10 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: i
 
 
 def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``(h, c, d, tp)`` of each run; ``tp`` packs tag, position and number of windows."""
+    """``(h, c, d, tag, tp)`` of each run; ``tp`` packs position and number of windows."""
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
-        d, tag = batch.column("d").to_numpy(), batch.column("tag").to_numpy().astype(np.int64)
+        d, tag = batch.column("d").to_numpy(), batch.column("tag").to_numpy()
         for i, j in slices(offsets, SLICE):
             whole = data[offsets[i] : offsets[j]]
             own = offsets[i : j + 1] - offsets[i]
@@ -103,39 +103,39 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row, p, n, h, c = runs_of(part, own if j - i > 1 else np.array([0, len(part)]))
                 if len(row):
                     row = row + i
-                    tp = (((tag[row] << POS_BITS) | (p + s)) << RUN_BITS) | n
+                    tp = ((p + s) << RUN_BITS) | n
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d[row]), pa.array(tp)],
-                        names=["h", "c", "d", "tp"],
+                        [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d[row]), pa.array(tag[row]), pa.array(tp)],
+                        names=["h", "c", "d", "tag", "tp"],
                     )
                 if j - i > 1:
                     break
 
 
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of ``(h, c, d, tp)`` to the runs that may repeat: ``ord`` is -1
+    """Rows in order of ``(h, c, d, tag, tp)`` to the runs that may repeat: ``ord`` is -1
     where the context has come before, else its number among the anchor's contexts.
-    A run that comes again with the same ``(d, tp)`` is of a document given twice.
+    A run that comes again with the same ``(d, tag, tp)`` is of a document given twice.
 
     The state between batches is the row before and the first context of the
     current anchor, which counts only once a second one follows.
     """
     h0 = c0 = None
     before = None  # the row before
-    held = None  # (h, d, tp) of a first context so far alone
+    held = None  # (h, d, tag, tp) of a first context so far alone
     count = 0
 
-    def out(h, d, tp, order):
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, d, tp, order)], names=["h", "d", "tp", "ord"])
+    def out(h, d, tag, tp, order):
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, d, tag, tp, order)], names=["h", "d", "tag", "tp", "ord"])
 
     for batch in batches:
-        h, c, d, tp = (batch.column(x).to_numpy() for x in ("h", "c", "d", "tp"))
+        h, c, d, tag, tp = (batch.column(x).to_numpy() for x in ("h", "c", "d", "tag", "tp"))
         if not len(h):
             continue
-        rows = np.array([h, c, d, tp])
+        rows = np.array([h, c, d, tag, tp])
         new = np.append(True if before is None else (rows[:, 0] != before).any(), (rows[:, 1:] != rows[:, :-1]).any(axis=0))
         before = rows[:, -1]
-        h, c, d, tp = rows[:, new]
+        h, c, d, tag, tp = rows[:, new]
         if not len(h):
             continue
         new_h = np.ones(len(h), bool)
@@ -167,7 +167,7 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tail = np.flatnonzero(new_c & (order == 0) & (group == last))
         if len(tail) and most[last] == 0:
             k = tail[0]
-            held = (h[k], d[k], tp[k])
+            held = (h[k], d[k], tag[k], tp[k])
             keep[k] = False
         keep = np.flatnonzero(keep)
         order = np.where(new_c, order, -1)
@@ -176,10 +176,10 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if extra is not None:
             yield out(*[np.array([x], np.int64) for x in (*extra, 0)])
         if len(keep):
-            yield out(h[keep], d[keep], tp[keep], order[keep])
+            yield out(h[keep], d[keep], tag[keep], tp[keep], order[keep])
 
 
-CUT = "k1 long, k2 long, kind int, d long, tp long, e long, body binary"
+CUT = "k1 long, k2 long, kind int, d long, tag long, p long, e long, body binary"
 
 
 def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,17 +201,17 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             data = (text[r].as_py() or "").encode()
             own = runs[r].values
             tp, h, order = (own.field(x).to_numpy() for x in ("tp", "h", "ord"))
-            p = (tp >> RUN_BITS) & ((1 << POS_BITS) - 1)
+            p = tp >> RUN_BITS
             n = tp & ((1 << RUN_BITS) - 1)
             plain = order < 0
             for s, e in zip(*merged(p[plain], p[plain] + n[plain] + LENGTH - 1), strict=True):
-                rows.append((d ^ (s << 20), -1, 0, d, (tag << POS_BITS) | s, e, None))
+                rows.append((d ^ (s << 20), -1, 0, d, tag, s, e, None))
             for k in np.flatnonzero(~plain):
                 s, o = int(p[k]), int(order[k])
                 body = data[s : s + int(n[k]) + LENGTH - 1]
-                rows.append((int(h[k]), o // SALT, 2, d, (tag << POS_BITS) | s, 0, body))
+                rows.append((int(h[k]), o // SALT, 2, d, tag, s, 0, body))
                 if o == SALT:  # tells the anchor's first shard that there are more
-                    rows.append((int(h[k]), 0, 1, d, 0, 0, None))
+                    rows.append((int(h[k]), 0, 1, d, tag, 0, 0, None))
                 size += len(body) + 60
             if size > 4_000_000:
                 yield _batch(rows)
@@ -221,10 +221,10 @@ def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
     return pa.RecordBatch.from_arrays(
         [pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)],
-        names=["k1", "k2", "kind", "d", "tp", "e", "body"],
+        names=["k1", "k2", "kind", "d", "tag", "p", "e", "body"],
     )
 
 
@@ -312,9 +312,9 @@ def kasai(data: np.ndarray, order: np.ndarray, starts: np.ndarray, lengths: np.n
 
 
 def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of ``(k1, k2, kind, d, tp)``, to ranges that go (kind 0) and, for anchors
+    """Rows in order of ``(k1, k2, kind, d, tag, p)``, to ranges that go (kind 0) and, for anchors
     in several shards, first windows (kind 3, keyed by two hashes)."""
-    pieces: list = []  # (d, tp, body, whether the anchor has other shards)
+    pieces: list = []  # (d, tag, p, body, whether the anchor has other shards)
     size = 0
     key, split, own, own_size = None, False, [], 0
 
@@ -324,7 +324,7 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(through):
             yield batch.take(pa.array(through))
         rest = np.flatnonzero(kind != 0)
-        k1, k2, d, tp = (batch.column(x).to_numpy()[rest] for x in ("k1", "k2", "d", "tp"))
+        k1, k2, d, tag, p = (batch.column(x).to_numpy()[rest] for x in ("k1", "k2", "d", "tag", "p"))
         body = batch.column("body")
         for i, r in enumerate(rest):
             now = (k1[i], k2[i])
@@ -337,9 +337,9 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 key, split, own, own_size = now, k2[i] > 0, [], 0
             if kind[r] == 1:
                 split = True
-            elif not own or own[-1][:2] != (d[i], tp[i]):
+            elif not own or own[-1][:3] != (d[i], tag[i], p[i]):
                 b = body[r].as_py()
-                own.append((d[i], tp[i], b, split))
+                own.append((d[i], tag[i], p[i], b, split))
                 own_size += len(b)
     if size + own_size > SHARD and pieces:
         yield from shard(pieces)
@@ -351,12 +351,13 @@ def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def shard(pieces: list) -> Iterator[pa.RecordBatch]:
     # in order of document and position, so that the lowest position in a group is the first place
     d = np.array([x[0] for x in pieces], np.int64)
-    tp = np.array([x[1] for x in pieces], np.int64)
-    by = np.lexsort((tp, d))
-    d, tp = d[by], tp[by]
-    split = np.array([x[3] for x in pieces])[by]
-    data = np.frombuffer(b"".join(pieces[i][2] for i in by), np.uint8)
-    lengths = np.array([len(x[2]) for x in pieces], np.int64)[by]
+    tag = np.array([x[1] for x in pieces], np.int64)
+    p = np.array([x[2] for x in pieces], np.int64)
+    by = np.lexsort((p, tag, d))
+    d, tag, p = d[by], tag[by], p[by]
+    split = np.array([x[4] for x in pieces])[by]
+    data = np.frombuffer(b"".join(pieces[i][3] for i in by), np.uint8)
+    lengths = np.array([len(x[3]) for x in pieces], np.int64)[by]
     starts = np.cumsum(lengths) - lengths
     windows = lengths - (LENGTH - 1)
     order = suffix_array(data)
@@ -381,33 +382,33 @@ def shard(pieces: list) -> Iterator[pa.RecordBatch]:
         new[1:] = (a[1:] != a[:-1] + 1) | (w[1:] != w[:-1])
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(a)) - 1
-        s = tp[w[first]] + (a[first] - starts[w[first]])
-        e = (tp[w[first]] & ((1 << POS_BITS) - 1)) + (a[last] - starts[w[first]]) + LENGTH
-        yield _ranges(d[w[first]], s, e)
+        s = p[w[first]] + (a[first] - starts[w[first]])
+        e = p[w[first]] + (a[last] - starts[w[first]]) + LENGTH
+        yield _ranges(d[w[first]], tag[w[first]], s, e)
     a, w = at[~gone & split[piece]], piece[~gone & split[piece]]
     if len(a):
         k1, k2 = (mixed(f.of(f.sums(data), a, a + LENGTH)) for f in (_one, _two))
         n = len(a)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.full(n, 3, np.int32)), pa.array(d[w]), pa.array(tp[w] + a - starts[w]), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary())],
-            names=["k1", "k2", "kind", "d", "tp", "e", "body"],
+            [pa.array(k1.view(np.int64)), pa.array(k2.view(np.int64)), pa.array(np.full(n, 3, np.int32)), pa.array(d[w]), pa.array(tag[w]), pa.array(p[w] + a - starts[w]), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary())],
+            names=["k1", "k2", "kind", "d", "tag", "p", "e", "body"],
         )
 
 
-def _ranges(d: np.ndarray, tp: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
+def _ranges(d: np.ndarray, tag: np.ndarray, p: np.ndarray, e: np.ndarray) -> pa.RecordBatch:
     n = len(d)
     return pa.RecordBatch.from_arrays(
-        [pa.array(d ^ (tp << 20)), pa.array(np.full(n, -1)), pa.array(np.zeros(n, np.int32)), pa.array(d), pa.array(tp), pa.array(e), pa.nulls(n, pa.binary())],
-        names=["k1", "k2", "kind", "d", "tp", "e", "body"],
+        [pa.array(d ^ (p << 20)), pa.array(np.full(n, -1)), pa.array(np.zeros(n, np.int32)), pa.array(d), pa.array(tag), pa.array(p), pa.array(e), pa.nulls(n, pa.binary())],
+        names=["k1", "k2", "kind", "d", "tag", "p", "e", "body"],
     )
 
 
 def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of ``(k1, k2, d, tp)``: of equal windows from several shards all but the first go."""
+    """Rows in order of ``(k1, k2, d, tag, p)``: of equal windows from several shards all but the first go."""
     last = None
     for batch in batches:
         kind = batch.column("kind").to_numpy()
-        d, tp, e = (batch.column(x).to_numpy().copy() for x in ("d", "tp", "e"))
+        d, tag, p, e = (batch.column(x).to_numpy().copy() for x in ("d", "tag", "p", "e"))
         k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
         gone = kind == 0
         w = np.flatnonzero(kind == 3)
@@ -422,12 +423,12 @@ def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if last == (a[0], b[0]):
                 new[0] = False
             gone[w[~new]] = True
-            e[w] = (tp[w] & ((1 << POS_BITS) - 1)) + LENGTH
+            e[w] = p[w] + LENGTH
             last = (a[-1], b[-1])
         gone = np.flatnonzero(gone)
         if len(gone):
             yield pa.RecordBatch.from_arrays(
-                [pa.array(d[gone]), pa.array((tp[gone] >> POS_BITS).astype(np.int32)), pa.array(tp[gone] & ((1 << POS_BITS) - 1)), pa.array(e[gone])],
+                [pa.array(x[gone]) for x in (d, tag, p, e)],
                 names=["d", "tag", "s", "e"],
             )
 
@@ -465,25 +466,23 @@ def suffix_dedup(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     base = keyed(docs)
     found = (
         base.select("d", "tag", F.col("row.text").alias("text"))
-        .mapInArrow(anchors, "h long, c long, d long, tp long")
+        .mapInArrow(anchors, "h long, c long, d long, tag long, tp long")
         .repartition("h")
-        .sortWithinPartitions("h", "c", "d", "tp")
-        .mapInArrow(resolve, "h long, d long, tp long, ord long")
+        .sortWithinPartitions("h", "c", "d", "tag", "tp")
+        .mapInArrow(resolve, "h long, d long, tag long, tp long, ord long")
     )
     # what is gathered for a document is bounded by its own length
-    found = found.groupBy("d", F.shiftright("tp", POS_BITS + RUN_BITS).cast("int").alias("tag")).agg(
-        F.collect_list(F.struct("tp", "h", "ord")).alias("runs")
-    )
+    found = found.groupBy("d", "tag").agg(F.collect_list(F.struct("tp", "h", "ord")).alias("runs"))
     # both joins shuffle the same rows by the same key, so Spark makes that exchange once
     ranges = (
         base.join(found, ["d", "tag"], "left")
         .mapInArrow(cut, CUT)
         .repartition("k1", "k2")
-        .sortWithinPartitions("k1", "k2", "kind", "d", "tp")
+        .sortWithinPartitions("k1", "k2", "kind", "d", "tag", "p")
         .mapInArrow(shards, CUT)
         .repartition("k1", "k2")
-        .sortWithinPartitions("k1", "k2", "d", "tp")
-        .mapInArrow(merge, "d long, tag int, s long, e long")
+        .sortWithinPartitions("k1", "k2", "d", "tag", "p")
+        .mapInArrow(merge, "d long, tag long, s long, e long")
         .groupBy("d", "tag")
         .agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     )

@@ -3,14 +3,17 @@
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from larkspur.llm import suffix_dedup as S
 from larkspur.llm.common import components
 from larkspur.llm.jaccard_join import jaccard_join
 from larkspur.llm.queries import QUERIES
+from larkspur.llm.winnow import winnow
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
@@ -169,3 +172,21 @@ def test_op10_contained_sets_of_two_clusters(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = {r.id: (r.n_shingles, r.component_id) for r in jaccard_join(df, 1, 90).select(F.col("row.doc_id").alias("id"), "n_shingles", "component_id").collect()}
     assert got == expected
+
+
+def test_texts_of_one_id_with_like_checksums(spark):
+    """Unlike texts without an id, whose CRC-32 agree in twenty bits."""
+    rng = random.Random(8)
+    seen = {}
+    while True:
+        one = " ".join(str(rng.randrange(10**9)) for _ in range(40))
+        two = seen.setdefault(zlib.crc32(one.encode()) & 0xFFFFF, one)
+        if one != two:
+            break
+    df = spark.createDataFrame([(None, one), (None, two), (None, two), (5, one)], "doc_id long, text string")
+    out = jaccard_join(df).select("row.text", "n_shingles", "stays").collect()
+    assert sorted((r.text, r.n_shingles) for r in out) == sorted([(one, 36), (two, 36), (two, 36), (one, 36)])
+    assert sorted(r.text for r in corpus_pipeline.near_duplicates(spark, df, "").collect()) == sorted([one, two])
+    cut = S.suffix_dedup(df).select("row.doc_id", "row.text", "n_removed").collect()
+    assert {(r.doc_id, r.text): r.n_removed for r in cut} == {(None, one): 0, (None, two): 0, (5, one): len(one)}
+    assert len(winnow(df).collect()) == 4

@@ -11,9 +11,10 @@ is left in them; taking one away again gives back every text.  A line break or
 ``%`` in a role is percent-coded.  The loss mask covers assistant texts.
 
 Null roles and texts are empty; a null ``conv_id`` is a conversation of its own.
-Rows of one conversation and turn that tie in ``seq`` are ordered by role and
-text, and repeated rows each count.  Deltas with nothing before them begin a
-message.  Long conversations are put together in chunks of ``CHUNK`` turns, so
+Replacing rows of one conversation and turn that tie in ``seq`` are messages of
+their own in the order of role and text, repeated ones too, and deltas append to
+the last of them.  Deltas with nothing before them begin a message.  A null
+``seq`` comes first and a null turn last.  Long conversations are put together in chunks of ``CHUNK`` turns, so
 that what meets in one row is the rendered text alone.
 """
 
@@ -54,11 +55,22 @@ def fold(log: DataFrame) -> DataFrame:
     last = log.groupBy("conv_id", "turn").agg(F.max(F.when(replaces, F.col("seq"))).alias("since"))
     same = F.expr("a.conv_id <=> b.conv_id and a.turn <=> b.turn")
     live = log.alias("a").join(last.alias("b"), same).where("since is null or seq >= since").select("a.*", "since")
-    part = F.struct("seq", F.when(F.col("op") == "delta", 1).otherwise(0).alias("late"), "role", F.coalesce("text", F.lit("")).alias("text"), "op")
+    late = F.when(replaces, 0).otherwise(1).alias("late")
+    part = F.struct("seq", late, "role", F.coalesce("text", F.lit("")).alias("text"), "op")
     parts = live.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(part)).alias("parts"), F.max("since").alias("since"))
-    gone = F.exists("parts", lambda p: (p["op"] == "delete") & (p["seq"] == F.col("since")))
-    role = F.get(F.filter("parts", lambda p: p["role"].isNotNull()), 0)["role"]
-    return parts.where(~gone).select("conv_id", "turn", role.alias("role"), F.array_join(F.transform("parts", lambda p: p["text"]), "").alias("text"))
+    gone = F.exists("parts", lambda p: (p["op"] == "delete") & p["seq"].eqNullSafe(F.col("since")))
+    first, more = F.filter("parts", lambda p: p["late"] == 0), F.filter("parts", lambda p: p["late"] == 1)
+    role = F.get(F.filter("more", lambda p: p["role"].isNotNull()), 0)["role"]
+    added = F.array_join(F.transform("more", lambda p: p["text"]), "")
+
+    def message(p: Column, i: Column) -> Column:
+        last = i == F.size("first") - 1
+        return F.struct(F.when(last, F.coalesce(p["role"], role)).otherwise(p["role"]).alias("role"), F.when(last, F.concat(p["text"], added)).otherwise(p["text"]).alias("text"))
+
+    alone = F.array(F.struct(role.alias("role"), added.alias("text")))
+    split = parts.where(~gone).select("conv_id", "turn", first.alias("first"), more.alias("more"))
+    said = split.select("conv_id", "turn", F.explode(F.when(F.size("first") == 0, alone).otherwise(F.transform("first", message))).alias("said"))
+    return said.select("conv_id", "turn", "said.role", "said.text")
 
 
 def render(messages: DataFrame) -> DataFrame:
@@ -66,8 +78,8 @@ def render(messages: DataFrame) -> DataFrame:
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
     one = F.concat(F.lit(START), escape_role(role), F.lit("\n"), escape(text), F.lit(END + "\n"))
     turns = messages.select("conv_id", "turn", role.alias("role"), text.alias("text"), one.alias("one"), F.expr(f"turn div {CHUNK}").alias("chunk"))
-    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "text", "one")))
-    joined = lambda key, what: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(key, what))), lambda x: x[what]), "")
+    ordered = F.sort_array(F.collect_list(F.struct(F.isnull("turn").alias("none"), "turn", "role", "text", "one")))
+    joined = lambda key, what: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(F.isnull(key).alias("none"), key, what))), lambda x: x[what]), "")
     chunks = turns.groupBy("conv_id", "chunk").agg(F.array_join(F.transform(ordered, lambda x: x["one"]), "").alias("body"))
     return chunks.groupBy("conv_id").agg(joined("chunk", "body").alias("formatted"))
 

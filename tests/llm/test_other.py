@@ -4,9 +4,11 @@ import hashlib
 import re
 import zlib
 from collections import defaultdict
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -48,6 +50,27 @@ def test_op3_folds_events(spark):
     assert chat.render(chat.fold(df.limit(0))).count() == 0
 
 
+def test_op3_rows_that_tie(spark, sf_dir, tmp_path):
+    """Tied, repeated and null turns, and rows without a conversation, against the SQL."""
+    rows = [
+        (1, 0, "user", "hi"), (1, 0, "assistant", "hey"), (1, 1, "user", "same"), (1, 1, "user", "same"), (1, None, "assistant", "late"), (1, None, None, "later"), (1, None, None, None),
+        (2, 3, None, "b"), (2, 3, "", "a"), (2, 3, "assistant", "c"), (None, 0, "user", "x"), (None, 0, "assistant", "y"), (None, None, "user", "z"), (3, 70, "user", "p"), (3, None, "user", "q"),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "parts"))
+    pq.write_table(pq.read_table(tmp_path / "parts"), tmp_path / "conversations.parquet")
+    for path in Path(sf_dir).glob("*.parquet"):
+        if path.name != "conversations.parquet":
+            (tmp_path / path.name).symlink_to(path)
+    got = spark_rows(QUERIES["op3_chat_format"](spark, str(tmp_path)))
+    assert got == duck_rows(str(tmp_path), ORACLES["op3_chat_format"])
+
+
+def test_op3_deltas_after_ties(spark):
+    log = [(1, 1, 0, "message", "a", "x"), (1, 1, 0, "message", "b", "y"), (1, 2, 0, "delta", "c", "!"), (1, None, 1, "message", "a", "p"), (1, 3, 1, "delta", None, "q")]
+    df = spark.createDataFrame(log, "conv_id long, seq long, turn long, op string, role string, text string")
+    assert sorted((r.turn, r.role, r.text) for r in chat.fold(df).collect()) == [(0, "a", "x"), (0, "b", "y!"), (1, "a", "pq")]
+
+
 def test_op4_rules(spark):
     urls = [None, "", "no scheme", "http://EN.Example.com/en/x?y", "http://www.example.com/en/", "http://example.com", "http://a.net/es/1", "http://net/fr/", "http://xnet/fr/", "x://b.com/#f", "x://b.com/#f"]
     pages = spark.createDataFrame([(i, u, 1) for i, u in enumerate(urls)] + [(3, urls[3], 1)], "page_id long, url string, times int")

@@ -1,12 +1,18 @@
 """Harmonic packing of documents into training sequences of at most ``CAPACITY`` tokens.
 
-Lengths fall into classes of a reciprocal of the capacity, ``CAPACITY / 2^c``,
-and a bin of class ``c`` takes ``2^c`` pieces and no others.  A document may be
-cut, so its length is written as full sequences and powers of two, longest
-first: every piece is exactly as long as its class allows and bins fill without
-padding.  Each worker fills its own bins; those it leaves open are closed at
-powers of two, where a sequence needs no padding either.  So no row moves
-between workers and every token lies in exactly one piece.
+Full sequences are cut off a document first.  What is left, of ``r`` tokens, has
+the reciprocal class ``k`` with ``C / (k + 1) < r <= C / k``, and a bin of class
+``k`` holds ``k`` pieces and no others.  A rest that all but fills its slot, by
+``WASTE`` of it, goes there whole.  Any other is cut: a slot of class ``k + 1``
+is filled to its end and the remainder, under ``C / (k (k + 1))``, is classed
+anew, so a few cuts are enough and what is lost in a bin is at most ``WASTE`` of
+it.  From class ``1 / WASTE`` on every rest goes whole.  A bin's slots end at
+``C (i + 1) / k``, so a cut also takes up what earlier pieces left.
+
+Each worker fills its own bins, one open bin a class, and no row moves between
+workers.  The pieces of bins still open at its end are laid end to end, into
+full sequences and one last run, written as powers of two, which need no
+padding.  Every token lies in exactly one piece.
 
 Tokens are the tokenizer's ids and then id ``END`` for each document.  A null
 text is empty and has ``END`` alone; an empty table gives no rows; repeated rows
@@ -16,6 +22,7 @@ a running number in it, so a task that runs again gives the same rows.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -30,6 +37,8 @@ from tokenizers import Tokenizer
 
 CAPACITY = 2048
 END = 1
+#: Part of a slot that a piece may leave empty.
+WASTE = 1 / 32
 #: Distinct words whose ids a worker remembers, from one task to the next.
 REMEMBERED = 800_000
 #: A mark of punctuation right after a letter of Latin-1: the tokenizer's pieces end there, so a space changes nothing.
@@ -39,12 +48,28 @@ PIECES = (
 )
 
 
+#: What a tokenizer file must say for its texts to be taken word by word, in lower case.
+WORD_BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+
+
 class WordCache:
     """Ids of texts, word by word: the tokenizer drops white space, never looks across it and
-    lower-cases, so ``The,`` has the ids of ``the`` and ``,``."""
+    lower-cases, so ``The,`` has the ids of ``the`` and ``,``.  That holds for tokenizers of the
+    form ``WORD_BY_WORD``; a text goes whole to any other."""
 
     def __init__(self, path: str) -> None:
         self.tokenizer = Tokenizer.from_file(path)
+        told = json.loads(self.tokenizer.to_str())
+        self.whole = any(told[x] != WORD_BY_WORD[x] for x in WORD_BY_WORD) or any(not t["content"].startswith("<|") or t["normalized"] for t in told["added_tokens"])
         self.clear()
 
     def clear(self) -> None:
@@ -94,6 +119,8 @@ class WordCache:
         self.index.update(zip(words, range(first, first + n), strict=True))
 
     def encode(self, text: str) -> np.ndarray:
+        if self.whole:
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         data = text.encode()
         if b"<|" not in data:  # special tokens are as they are written
             data = _AFTER_LETTER.sub(rb" \g<0>", data.lower())
@@ -131,55 +158,70 @@ def cached(path: str) -> WordCache:
     return _caches[path]
 
 
-def cuts(tokens: int, capacity: int = CAPACITY) -> list[int]:
-    """Piece lengths: full sequences, then the powers of two of what is left, longest first."""
-    out = [capacity] * (tokens // capacity)
-    left = tokens % capacity
-    return out + [1 << c for c in range(left.bit_length() - 1, -1, -1) if left >> c & 1]
-
-
 class Bins:
-    """One worker's open bins, one for each class."""
+    """One worker's open bins, one for each class: pieces ``(doc_id, start, ids, doc_tokens)``."""
 
-    def __init__(self, capacity: int, first: int) -> None:
-        self.capacity, self.next = capacity, first
+    def __init__(self, capacity: int, first: int, waste: float = WASTE) -> None:
+        self.capacity, self.next, self.waste = capacity, first, waste
         self.open: dict[int, list] = {}
-
-    def put(self, length: int, piece: tuple) -> Iterator[tuple]:
-        held = self.open.setdefault(length, [])
-        held.append(piece)
-        if len(held) * length == self.capacity:
-            yield from self.close(held, length)
-            self.open[length] = []
-
-    def close(self, held: list, length: int) -> Iterator[tuple]:
-        for i, piece in enumerate(held):
-            yield (*piece[:5], self.next, i * length, piece[5])
+        self.filled: dict[int, int] = {}
+
+    def put(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
+        """Rows of the sequences that this document completes."""
+        start, n = 0, len(ids)
+        for start in range(0, n - self.capacity + 1, self.capacity):
+            yield from self.close([(doc_id, start, ids[start : start + self.capacity], n)])
+        start = n - n % self.capacity
+        while start < n:
+            left = n - start
+            k = self.capacity // left
+            if self.capacity - k * left > self.waste * self.capacity:  # cut for a slot of the next class
+                k += 1
+                left = min(left, self.capacity * (len(self.open.get(k, ())) + 1) // k - self.filled.get(k, 0))
+            held = self.open.setdefault(k, [])
+            held.append((doc_id, start, ids[start : start + left].copy(), n))  # not a view, which keeps the whole text's ids
+            self.filled[k] = self.filled.get(k, 0) + left
+            if len(held) == k:
+                yield from self.close(held)
+                self.open[k], self.filled[k] = [], 0
+            start += left
+
+    def close(self, held: list[tuple]) -> Iterator[tuple]:
+        at = 0
+        for doc_id, start, ids, n in held:
+            body = ids.tobytes()
+            yield doc_id, start, len(ids), zlib.crc32(body), n, self.next, at, body
+            at += len(ids)
         self.next += 1
 
     def rest(self) -> Iterator[tuple]:
-        """Open bins, as sequences of a power of two of pieces each."""
-        for length, held in sorted(self.open.items()):
-            at = 0
-            for c in range(len(held).bit_length() - 1, -1, -1):
-                if len(held) >> c & 1:
-                    yield from self.close(held[at : at + (1 << c)], length)
-                    at += 1 << c
-        self.open = {}
-
-
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 7 + [pa.binary()]
+        """What the open bins hold, as full sequences and then powers of two."""
+        pieces = [x for k in sorted(self.open) for x in self.open[k]]
+        total = sum(len(x[2]) for x in pieces)
+        tail = total % self.capacity
+        sizes = [self.capacity] * (total // self.capacity) + [1 << c for c in range(tail.bit_length() - 1, -1, -1) if tail >> c & 1]
+        held: list[tuple] = []
+        room = sizes.pop(0) if sizes else 0
+        for doc_id, start, ids, n in pieces:
+            while len(ids):
+                held.append((doc_id, start, ids[:room], n))
+                start, room, ids = start + len(held[-1][2]), room - len(held[-1][2]), ids[room:]
+                if not room:
+                    yield from self.close(held)
+                    held, room = [], sizes.pop(0) if sizes else 0
+        self.open, self.filled = {}, {}
+
+
+def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
     names = [x.split()[0] for x in PIECES.split(", ")]
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    *numbers, bodies = zip(*rows, strict=True)
+    columns = [pa.array(x, pa.int64()) for x in numbers]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(bodies if with_ids else [None] * len(rows), pa.binary())], names=names)
 
 
 def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = True) -> DataFrame:
     """One row for each piece; ``ids`` are its tokens as little-endian unsigned 32-bit numbers
     (null unless ``with_ids``)."""
-    if capacity & (capacity - 1):
-        raise ValueError("the capacity must be a power of two")
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = cached(path)
         context = TaskContext.get()
@@ -189,18 +231,13 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, w
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 ids = np.append(words.encode(text.as_py() or ""), np.uint32(end)).astype("<u4")
-                data, start = ids.tobytes(), 0
-                for n in cuts(len(ids), capacity):
-                    body = data[4 * start : 4 * (start + n)]
-                    piece = (doc_id, start, n, zlib.crc32(body), len(ids), body if with_ids else None)
-                    out += bins.put(n, piece)
-                    start += n
-                size += len(data)
+                out += bins.put(doc_id, ids)
+                size += 4 * len(ids)
                 if len(out) > 20_000 or (with_ids and size > 8_000_000 and out):
-                    yield _batch(out)
+                    yield _batch(out, with_ids)
                     out, size = [], 0
         out += bins.rest()
         if out:
-            yield _batch(out)
+            yield _batch(out, with_ids)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)

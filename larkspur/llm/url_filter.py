@@ -7,9 +7,10 @@ label, with the prefixes of its path that are as long as some rule's.  A blocked
 Bloom filter of the rules' keys passes possible hits, which an exact hash join
 with the rules confirms or drops.
 
-The filter has 512 bits a block and at most ``MOST_BITS`` bits, so it can be
-broadcast whatever the list's length; a longer list only makes more false hits
-for the join.  The join is Spark's own choice by the rules' size.
+The filter has 512 bits a block and at most ``MOST_BITS`` bits (32 MB), so it can
+be broadcast whatever the list's length; more than some 16 million rules only
+make more false hits for the join.  The join is Spark's own choice by the rules'
+size.  Urls are tested where they are read, and only keys that hit are joined.
 
 Host: what follows the first ``://`` up to ``/``, ``?``, ``#`` or the end, A-Z
 lower-cased; path: from there up to ``?``, ``#`` or the end.  A null url, or one
@@ -19,16 +20,18 @@ an empty table gives no rows.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import mixed
+
 BLOCK_WORDS = 8
-MOST_BITS = 1 << 23
+MOST_BITS = 1 << 28
 BITS_A_KEY = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,10 +44,12 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return host, F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1)
 
 
-def bits_of(key: str, blocks: int) -> tuple[int, list[int]]:
-    """A key's block, and one bit in each of the block's words."""
-    h = int.from_bytes(hashlib.blake2b(key.encode(), digest_size=16).digest(), "little")
-    return (h & (1 << 64) - 1) % blocks, [(h >> 64 + 6 * j) & 63 for j in range(BLOCK_WORDS)]
+def bits_of(keys: list[str], blocks: int) -> tuple[np.ndarray, np.ndarray]:
+    """The words of each key's block, and one bit for each of them."""
+    h = pd.util.hash_array(np.array(keys, object), categorize=False)
+    word = (h % np.uint64(blocks)).astype(np.int64)[:, None] * BLOCK_WORDS + np.arange(BLOCK_WORDS)
+    bit = mixed(h ^ np.uint64(0x9E3779B97F4A7C15))[:, None] >> np.arange(0, 6 * BLOCK_WORDS, 6, dtype=np.uint64) & np.uint64(63)
+    return word, np.uint64(1) << bit
 
 
 def bloom(keys: DataFrame, blocks: int) -> np.ndarray:
@@ -53,18 +58,16 @@ def bloom(keys: DataFrame, blocks: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = np.zeros(blocks * BLOCK_WORDS, np.uint64)
         for batch in batches:
-            for key in batch.column("key").to_pylist():
-                block, bits = bits_of(key, blocks)
-                for j, b in enumerate(bits):
-                    words[block * BLOCK_WORDS + j] |= np.uint64(1 << b)
+            if len(batch):
+                np.bitwise_or.at(words, *bits_of(batch.column("key").to_pylist(), blocks))
         some = np.flatnonzero(words)
         if len(some):
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(words[some].view(np.int64))], names=["word", "bits"])
 
     rows = keys.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found = rows.toArrow()  # at most MOST_BITS / 64
     out = np.zeros(blocks * BLOCK_WORDS, np.uint64)
-    for r in rows.collect():  # at most MOST_BITS / 64
-        out[r["word"]] = np.int64(r["bits"]).view(np.uint64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return out
 
 
@@ -84,33 +87,33 @@ def filter_urls(pages: DataFrame, rules: DataFrame, otherwise: str = "allow") ->
     words = spark.sparkContext.broadcast(bloom(listed.select("key"), blocks))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = [int(x) for x in words.value]
         for batch in batches:
-            hits = []
-            for host, path in zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True):
-                own = []
-                labels = host.split(".")
-                for i in range(len(labels)) if host else ():
-                    suffix = ".".join(labels[i:])
-                    for n in lengths:
-                        if n > len(path):
-                            break
-                        key = suffix + path[:n]
-                        block, bits = bits_of(key, blocks)
-                        if all(table[block * BLOCK_WORDS + j] >> b & 1 for j, b in enumerate(bits)):
-                            own.append(key)
-                hits.append(own)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(pa.string()))], names=["page_id", "url", "host", "path", "times", "hits"])
+            keys, counts = [], np.zeros(len(batch), np.int64)
+            for r, (host, path) in enumerate(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist(), strict=True)):
+                before = len(keys)
+                prefixes = [path[:n] for n in lengths if n <= len(path)]
+                while host:
+                    keys += [host + p for p in prefixes]
+                    host = host.partition(".")[2]
+                counts[r] = len(keys) - before
+            if keys:
+                word, bit = bits_of(keys, blocks)
+                hit = (words.value[word] & bit == bit).all(axis=1)
+            else:
+                hit = np.zeros(0, bool)
+            ends = np.concatenate([[0], np.cumsum(hit)])[np.concatenate([[0], np.cumsum(counts)])]
+            hits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([k for k, x in zip(keys, hit, strict=True) if x], pa.string()))
+            yield pa.RecordBatch.from_arrays([*batch.columns, hits], names=["at", "page_id", "url", "host", "path", "hits"])
 
     host, path = host_and_path(F.col("url"))
-    urls = pages.groupBy(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url")).agg(F.count("*").alias("times"))
-    urls = urls.select("page_id", "url", host.alias("host"), path.alias("path"), "times")
-    found = urls.mapInArrow(run, "page_id long, url string, host string, path string, times long, hits array<string>")
+    # rows may repeat: their places tell them apart, and a task that runs again reads the same ones
+    urls = pages.select(F.monotonically_increasing_id().alias("at"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"))
+    urls = urls.select("at", "page_id", "url", host.alias("host"), path.alias("path"))
+    found = urls.mapInArrow(run, "at long, page_id long, url string, host string, path string, hits array<string>")
     found = found.withColumn("key", F.explode_outer("hits")).join(
         listed.select("key", F.col("host").alias("rule_host"), "rule_verdict"), "key", "left"
     )
     order = F.struct(F.length("key").alias("n"), F.length("rule_host").alias("m"))
     best = F.max_by(F.struct("key", "rule_verdict"), F.when(F.col("rule_verdict").isNotNull(), order))
-    out = found.groupBy("page_id", "url", "host", "path", "times").agg(best.alias("best"))
-    out = out.withColumn("again", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    out = found.groupBy("at", "page_id", "url", "host", "path").agg(best.alias("best"))
     return out.select("page_id", "url", "host", "path", F.col("best.key").alias("rule"), F.coalesce("best.rule_verdict", F.lit(otherwise)).alias("verdict"))

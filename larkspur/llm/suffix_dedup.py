@@ -8,7 +8,9 @@ The corpus is cut into shards by content, so equal strings meet:
 1. Every window of ``length`` bytes belongs to one anchor: the k-gram of least
    hash in it.  Neighbouring windows of one anchor form a run.  Equal windows
    have equal anchors, so anchors are shuffled by their hash, and the runs of
-   an anchor that occurs once are done.
+   an anchor that occurs once are done.  A run whose whole context comes earlier
+   in the same slice of texts is known as a repeat there; it is dealt by its own
+   hash, so an anchor that fills a corpus doesn't fill one task.
 2. A run whose whole context equals an earlier one is a repeat.  What is left,
    distinct contexts of one anchor, is cut from the texts and dealt into shards
    of at most a megabyte, an anchor with very many contexts into several.
@@ -34,6 +36,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -103,15 +106,33 @@ def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 row, p, n, h, c = runs_of(part, own if j - i > 1 else np.array([0, len(part)]))
                 if len(row):
                     row = row + i
-                    tp = ((p + s) << RUN_BITS) | n
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(h.view(np.int64)), pa.array(c.view(np.int64)), pa.array(d[row]), pa.array(tag[row]), pa.array(tp)],
-                        names=["h", "c", "d", "tag", "tp"],
-                    )
+                    yield runs_batch(h, c, d[row], tag[row], ((p + s) << RUN_BITS) | n)
                 if j - i > 1:
                     break
 
 
+def runs_batch(h: np.ndarray, c: np.ndarray, d: np.ndarray, tag: np.ndarray, tp: np.ndarray) -> pa.RecordBatch:
+    """Runs of one slice; ``known`` are those whose context comes earlier in it, in order of ``(d, tag, tp)``."""
+    h, c = h.view(np.int64), c.view(np.int64)
+    by = np.lexsort((h, c))
+    first = np.append(True, (h[by][1:] != h[by][:-1]) | (c[by][1:] != c[by][:-1]))
+    known = np.zeros(len(h), bool)
+    if not first.all():
+        group = np.cumsum(first) - 1
+        shared = np.flatnonzero(np.bincount(group)[group] > 1)
+        at, group = by[shared], group[shared]
+        order = np.lexsort((tp[at], tag[at], d[at], group))
+        at, group = at[order], group[order]
+        # the least of each group, and what a document given twice repeats of it, aren't known
+        head = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
+        least = np.repeat(at[head], np.diff(np.append(head, len(at))))
+        later = at[(d[at] != d[least]) | (tag[at] != tag[least]) | (tp[at] != tp[least])]
+        known[later] = True
+        h = h.copy()
+        h[later] = mixed(mixed(d[later].view(np.uint64) ^ tag[later].view(np.uint64)) + tp[later].astype(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, c, d, tag, tp, known)], names=["h", "c", "d", "tag", "tp", "known"])
+
+
 def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows in order of ``(h, c, d, tag, tp)`` to the runs that may repeat: ``ord`` is -1
     where the context has come before, else its number among the anchor's contexts.
@@ -129,6 +150,11 @@ def resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(x) for x in (h, d, tag, tp, order)], names=["h", "d", "tag", "tp", "ord"])
 
     for batch in batches:
+        known = np.flatnonzero(batch.column("known").to_numpy(zero_copy_only=False))
+        if len(known):
+            told = batch.take(pa.array(known))
+            yield pa.RecordBatch.from_arrays([*(told.column(x) for x in ("h", "d", "tag", "tp")), pa.array(np.full(len(known), -1))], names=["h", "d", "tag", "tp", "ord"])
+            batch = batch.filter(pc.invert(batch.column("known")))
         h, c, d, tag, tp = (batch.column(x).to_numpy() for x in ("h", "c", "d", "tag", "tp"))
         if not len(h):
             continue
@@ -466,7 +492,7 @@ def suffix_dedup(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     base = keyed(docs)
     found = (
         base.select("d", "tag", F.col("row.text").alias("text"))
-        .mapInArrow(anchors, "h long, c long, d long, tag long, tp long")
+        .mapInArrow(anchors, "h long, c long, d long, tag long, tp long, known boolean")
         .repartition("h")
         .sortWithinPartitions("h", "c", "d", "tag", "tp")
         .mapInArrow(resolve, "h long, d long, tag long, tp long, ord long")

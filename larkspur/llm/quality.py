@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import checkpointed
+from larkspur.llm.common import checkpointed, keyed
 
 SPACE = " \t\n\x0b\f\r"
 SPACE_RUN = r"[\x20\x09-\x0D]+"
@@ -170,8 +170,12 @@ def quality(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def quality_filter(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, unchanged.  The texts are read twice rather than shuffled."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
-    measured = docs.select(row, statistics(text).alias("stats"))
-    return judged(measured.select("stats"))(measured).where("kept").select("row.*")
+    """The rows of ``docs`` that are kept, unchanged.
+
+    The statistics are computed once and kept by document; rows that share
+    ``doc_id`` and text share their verdict, so a semi join picks them.
+    """
+    base = keyed(docs)
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    measured = checkpointed(base.select("d", "tag", statistics(text).alias("stats")))
+    return base.join(judged(measured)(measured).where("kept").select("d", "tag"), ["d", "tag"], "left_semi").select("row.*")

@@ -21,8 +21,11 @@ texts, yet never expands a group of copies into pairs:
    link is verified or already connected.  Before the join, each document that
    may still take part has those of its shingles counted that no other such
    document holds: they can't be shared, and most outliers of a group of near
-   copies turn out unable to link with anything.  Pairs also pass a bitmap
-   filter: signatures bound from below in how many shingles two sets differ.
+   copies turn out unable to link with anything.  Shingles with the same largest
+   component are joined in one place, in pieces of ``PIECE`` rows, so a pair of
+   long documents is one row with a count and not a row for each shingle; a
+   shingle of more than ``CELL`` documents is dealt into cells.  Pairs also pass a
+   bitmap filter: signatures bound from below in how many shingles two sets differ.
 
 Words are the runs of bytes other than ``\\x20 \\x09-\\x0D``, A-Z lower-cased.
 A text of fewer than ``k`` words has its whole sequence as one shingle.  Null
@@ -42,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import RollingHash, checkpointed, components, keyed, mixed, slices, utf8, written
+from larkspur.llm.common import RollingHash, checkpointed, components, concat_ranges, keyed, mixed, slices, utf8, written
 
 #: Counters of the frequency table: its size is fixed, so it can be broadcast.
 SKETCH_BITS = 18
@@ -50,12 +53,14 @@ SKETCH_BITS = 18
 SLICE = 500_000
 #: A pair shares one shingle of the prefixes, and one more for each so many of the smaller set.
 SHARE = 20
-#: Followers of a hub that are verified in one place, and targets listed in one row.
+#: Followers of a hub that are verified in one place, and targets listed in one row, about.
 FOLLOWERS, TARGETS = 512, 1024
 #: Words of 64 bits in a set's signature.
 SIGNS = 8
 #: Rows of one shingle that are held until its end is seen.
 HELD = 50_000
+#: Rows of torn shingles joined in one place, documents of one such shingle that meet there, and pairs made at once.
+PIECE, CELL, AT_ONCE = 100_000, 20_000, 2_000_000
 
 _words = RollingHash(37)
 _lower = np.arange(256, dtype=np.uint8)
@@ -369,6 +374,110 @@ def verified(percent: int) -> Callable[[Batches], Batches]:
     return run
 
 
+def pairs_of(percent: int, piece: int, at_once: int) -> Callable[[Batches], Batches]:
+    """Rows in order of ``(token, cell)`` within a piece, to pairs ``a < b`` of different components that pass
+    the filters, with how many of the rows' shingles they share (``shared`` adds up over pieces)."""
+    names = ["ad", "atag", "bd", "btag", "shared", "least"]
+
+    def numbered(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The place of each ``(x, y)`` among the distinct ones in order."""
+        by = np.lexsort((y, x))
+        new = np.append(True, (x[by][1:] != x[by][:-1]) | (y[by][1:] != y[by][:-1]))
+        out = np.empty(len(x), np.int64)
+        out[by] = np.cumsum(new) - 1
+        return out
+
+    def joined(rows: pa.Table) -> Batches:
+        col = {x: rows.column(x).to_numpy() for x in rows.column_names if not x.startswith("sign")}
+        me, inside = numbered(col["d"], col["tag"]), ~col["outside"]
+        group = numbered(col["cd"], col["ctag"])
+        n, pos, common = (col[x].astype(np.int64) for x in ("n", "pos", "common"))
+        new = np.append(True, (col["token"][1:] != col["token"][:-1]) | (col["cell"][1:] != col["cell"][:-1]))
+        cut = np.append(np.flatnonzero(new), len(me))
+        size, begin = np.diff(cut)[np.cumsum(new) - 1], cut[np.cumsum(new) - 1]
+        first = np.flatnonzero(col["xs"])
+        if not len(first):
+            return
+        ends = np.cumsum(size[first])
+        lo = 0
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + at_once, "right")))
+            x = first[lo:hi]
+            i, j = np.repeat(x, size[x]), concat_ranges(begin[x], size[x])
+            ok = col["ys"][j] & (group[i] != group[j]) & (inside[j] | (me[i] < me[j]))
+            i, j = i[ok], j[ok]
+            small, both = np.minimum(n[i], n[j]), n[i] + n[j]
+            least_left = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
+            ok = (100 * small >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * least_left >= percent * both)
+            ok &= (100 + percent) * np.minimum(common[i], common[j]) >= percent * both
+            i, j = i[ok], j[ok]
+            _, at, shared = np.unique(np.minimum(me[i], me[j]) * len(me) + np.maximum(me[i], me[j]), return_index=True, return_counts=True)
+            i, j = i[at], j[at]
+            apart = np.zeros(len(i), np.int64)
+            for w in range(SIGNS):
+                sign = rows.column(f"sign{w}").to_numpy()
+                apart += np.bitwise_count((sign[i] ^ sign[j]).view(np.uint64))
+            both = n[i] + n[j]
+            ok = (100 + percent) * (both - apart) >= 2 * percent * both
+            i, j, shared = i[ok], j[ok], shared[ok]
+            a, b = np.where(me[i] < me[j], i, j), np.where(me[i] < me[j], j, i)
+            if len(a):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(v) for v in (col["d"][a], col["tag"][a], col["d"][b], col["tag"][b], shared.astype(np.int64), 1 + np.minimum(n[a], n[b]) // SHARE)], names=names
+                )
+            lo = hi
+
+    def run(batches: Batches) -> Batches:
+        held: list[pa.RecordBatch] = []
+        count = 0
+        for batch in batches:
+            held.append(batch)
+            count += len(batch)
+            if count > 2 * piece:
+                rows = pa.Table.from_batches(held).combine_chunks()
+                token, cell = rows.column("token").to_numpy(), rows.column("cell").to_numpy()
+                last = np.flatnonzero((token != token[-1]) | (cell != cell[-1]))
+                end = int(last[-1]) + 1 if len(last) else 0
+                if end:
+                    yield from joined(rows.slice(0, end))
+                held, count = rows.slice(end).to_batches(), len(token) - end
+        if count:
+            yield from joined(pa.Table.from_batches(held).combine_chunks())
+
+    return run
+
+
+def torn_pairs(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``(hd, htag, d, tag)`` of documents of different components that share as many of the torn
+    shingles' rows as a link asks for."""
+    c = F.col
+    m = rows.groupBy("token").agg(F.ceil(F.count("*") / CELL).cast("int").alias("cells"))
+    rows = rows.join(m, "token").withColumn("outside", c("component") != c("big"))
+    # a shingle of S blocks of documents has S x S cells: those that are paired, by those that they are paired with
+    own, blocks = F.pmod(F.hash("node"), c("cells")), F.sequence(F.lit(0), c("cells") - 1)
+    cell = lambda at, xs, ys: F.struct(at.alias("cell"), xs.alias("xs"), ys.alias("ys"))
+    across = F.transform(blocks, lambda j: cell(own * c("cells") + j, c("outside"), j == own))
+    along = F.transform(blocks, lambda i: cell(i * c("cells") + own, F.lit(False), i != own))
+    cells = F.filter(F.concat(across, along), lambda x: x["xs"] | x["ys"])
+    rows = rows.select("*", F.explode(cells).alias("spot")).select("*", "spot.*")
+    # the few components whose shingles fill more than one piece
+    many = rows.groupBy("big").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).where("pieces > 1")
+    signs = [f"sign{i}" for i in range(SIGNS)]
+    rows = rows.join(many, "big", "left").select(
+        "token", "cell", F.pmod(F.xxhash64("token", "cell"), F.coalesce("pieces", F.lit(1))).alias("piece"), c("big.d").alias("bd"), c("big.tag").alias("btag"), "xs", "ys", "outside",
+        c("node.d").alias("d"), c("node.tag").alias("tag"), c("component.d").alias("cd"), c("component.tag").alias("ctag"), "n", "pos", "common", *signs,
+    )
+    return (
+        rows.repartition("bd", "btag", "piece")
+        .sortWithinPartitions("bd", "btag", "piece", "token", "cell")
+        .mapInArrow(pairs_of(percent, PIECE, AT_ONCE), "ad long, atag long, bd long, btag long, shared long, least long")
+        .groupBy(c("ad").alias("hd"), c("atag").alias("htag"), c("bd").alias("d"), c("btag").alias("tag"))
+        .agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
+        .where("shared >= least")
+        .drop("shared", "least")
+    )
+
+
 LINKS = "hd long, htag long, d long, tag long"
 
 
@@ -387,7 +496,8 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
             F.col("hd").alias("d"), F.col("htag").alias("tag"), F.struct("hd", "htag", "salt", F.lit(0).alias("role")).alias("t")
         )
     )
-    asked = asked.groupBy("d", "tag", (F.col("t.salt") / TARGETS).cast("int").alias("part")).agg(F.collect_list("t").alias("targets"))
+    lists = asked.groupBy("d", "tag").agg(F.ceil(F.count("*") / TARGETS).cast("int").alias("lists"))
+    asked = asked.join(lists, ["d", "tag"]).groupBy("d", "tag", F.pmod(F.hash("t"), F.col("lists")).alias("part")).agg(F.collect_list("t").alias("targets"))
     return (
         texts.join(asked, ["d", "tag"])
         .mapInArrow(ship(k), "hd long, htag long, salt int, role int, d long, tag long, body binary")
@@ -465,20 +575,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     # of its own size n, a set links at best with one of ceil(percent * n / 100), and shares no more than `common`
     least_n = F.ceil(F.lit(percent) * F.col("n") / 100)
     rows = written(rows.where(F.lit(100 + percent) * F.col("common") >= F.lit(percent) * (F.col("n") + least_n)))
-    one, other = rows.where("component <> big").alias("x"), rows.alias("y")
-    apart = sum((F.bit_count(c(f"x.{w}").bitwiseXOR(c(f"y.{w}"))) for w in signs), F.lit(0))
-    rest = (
-        one.join(other, "token")
-        .where("x.component <> y.component")
-        .where("y.component = y.big or x.node < y.node")
-        .where(passes(percent, c("x.n"), c("x.pos"), c("y.n"), c("y.pos")))
-        .where(F.lit(100 + percent) * F.least("x.common", "y.common") >= F.lit(percent) * (c("x.n") + c("y.n")))
-        .where(F.lit(100 + percent) * (c("x.n") + c("y.n") - apart) >= F.lit(2 * percent) * (c("x.n") + c("y.n")))
-        .groupBy(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))  # tokens differ in which is x
-        .agg(F.count("*").alias("shared"), F.min(least_shared(c("x.n"), c("y.n"))).alias("least"))
-        .where("shared >= least")
-        .select(c("a.d").alias("hd"), c("a.tag").alias("htag"), c("b.d").alias("d"), c("b.tag").alias("tag"))
-    )
+    rest = torn_pairs(rows, percent)
     tried = star.union(star.select("d", "tag", "hd", "htag"))
     rest = rest.join(tried, ["hd", "htag", "d", "tag"], "left_anti")
     more = verify(rest, texts, k, percent)

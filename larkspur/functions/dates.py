@@ -6,6 +6,8 @@ don't convert into each other until ``justify_*`` says so.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -161,8 +163,66 @@ def java_pattern(template: str) -> str:
     return "".join(out)
 
 
+def _cased(text: Column, pattern: str) -> Column:
+    return F.upper(text) if pattern.isupper() else F.lower(text) if pattern.islower() else text
+
+
+def _pieces(ts: Column) -> dict[str, Callable[[bool], Column]]:
+    """What each template pattern writes; the argument says whether blanks and zeros are left out (``FM``)."""
+    number = lambda x, width: lambda bare: x.cast("string") if bare else F.when(F.length(x.cast("string")) < width, F.lpad(x.cast("string"), width, "0")).otherwise(x.cast("string"))
+    name = lambda java, pattern: lambda bare: _cased(F.date_format(ts, java) if bare else F.rpad(F.date_format(ts, java), 9, " "), pattern)
+    short = lambda java, pattern: lambda _: _cased(F.date_format(ts, java), pattern)
+    hour, iso_year = F.hour(ts), F.extract(F.lit("YEAROFWEEK"), ts)
+    fields: dict[str, Callable[[bool], Column]] = {
+        "YYYY": number(F.year(ts), 4), "YY": number(F.year(ts) % 100, 2), "Y": number(F.year(ts) % 10, 1), "IYYY": number(iso_year, 4), "IY": number(iso_year % 100, 2),
+        "CC": number(F.ceil(F.year(ts) / 100), 2), "Q": number(F.quarter(ts), 1), "MM": number(F.month(ts), 2), "WW": number(F.floor((F.dayofyear(ts) - 1) / 7) + 1, 2),
+        "IW": number(F.weekofyear(ts), 2), "W": number(F.floor((F.day(ts) - 1) / 7) + 1, 1), "DDD": number(F.dayofyear(ts), 3), "DD": number(F.day(ts), 2), "D": number(F.dayofweek(ts), 1),
+        "ID": number((F.dayofweek(ts) + 5) % 7 + 1, 1), "J": number(F.datediff(ts.cast("date"), F.lit("1970-01-01").cast("date")) + 2440588, 1),
+        "HH24": number(hour, 2), "HH12": number((hour + 11) % 12 + 1, 2), "HH": number((hour + 11) % 12 + 1, 2), "MI": number(F.minute(ts), 2), "SSSS": number(hour * 3600 + F.minute(ts) * 60 + F.second(ts), 1),
+        "SS": number(F.second(ts), 2), "MS": short("SSS", "Ms"), "US": short("SSSSSS", "Us"),
+    }
+    for java, names in (("MMMM", ("MONTH", "Month", "month")), ("EEEE", ("DAY", "Day", "day"))):
+        fields |= {p: name(java, p) for p in names}
+    for java, names in (("MMM", ("MON", "Mon", "mon")), ("EEE", ("DY", "Dy", "dy")), ("a", ("AM", "PM", "am", "pm"))):
+        fields |= {p: short(java, p) for p in names}
+    return fields
+
+
+def _ordinal(digits: Column) -> Column:
+    ten = digits.cast("long") % 100
+    one = ten % 10
+    return F.when(ten.between(11, 13), "TH").when(one == 1, "ST").when(one == 2, "ND").when(one == 3, "RD").otherwise("TH")
+
+
 def to_char(ts: Column, template: str) -> Column:
-    return F.date_format(ts, java_pattern(template))
+    """A timestamp by a template: names of months and days are blank-padded to nine characters,
+    ``FM`` drops padding, ``TH`` and ``th`` after a number make it an ordinal, and quoted text stays."""
+    fields = _pieces(ts)
+    out: list[Column] = []
+    i, bare = 0, False
+    while i < len(template):
+        if template.startswith("FM", i):
+            i, bare = i + 2, True
+            continue
+        found = max((p for p in fields if template.startswith(p, i)), key=len, default=None)
+        if found:
+            piece = fields[found](bare)
+            i, bare = i + len(found), False
+            if template[i : i + 2] in ("TH", "th"):
+                suffix = _ordinal(piece)
+                piece = F.concat(piece, suffix if template[i] == "T" else F.lower(suffix))
+                i += 2
+            out.append(piece)
+        elif template[i] == '"':
+            end = template.index('"', i + 1)
+            out.append(F.lit(template[i + 1 : end]))
+            i = end + 1
+        elif template[i].isalpha():
+            raise ValueError(f"to_char pattern {template[i:]!r} is not supported")
+        else:
+            out.append(F.lit(template[i]))
+            i += 1
+    return F.concat(*out) if out else F.lit("")
 
 
 def to_timestamp(text: Column, template: str) -> Column:
@@ -171,3 +231,53 @@ def to_timestamp(text: Column, template: str) -> Column:
 
 def to_date(text: Column, template: str) -> Column:
     return F.to_date(text, java_pattern(template))
+
+
+def interval_plus(a: Column, b: Column) -> Column:
+    return interval(a["months"] + b["months"], a["days"] + b["days"], a["micros"] + b["micros"])
+
+
+def interval_minus(a: Column, b: Column) -> Column:
+    return interval(a["months"] - b["months"], a["days"] - b["days"], a["micros"] - b["micros"])
+
+
+def interval_times(a: Column, factor: Column) -> Column:
+    """Parts of a month go to days of a thirtieth, and parts of a day to time."""
+    f = factor.cast("double")
+    toward = lambda x: F.when(x < 0, F.ceil(x)).otherwise(F.floor(x))
+    months = a["months"] * f
+    days = a["days"] * f + F.round((months - toward(months)) * 30, 6)
+    micros = a["micros"] * f + F.round((days - toward(days)) * DAY, 0)
+    return interval(toward(months), toward(days), F.rint(micros))
+
+
+def interval_over(a: Column, divisor: Column) -> Column:
+    return interval_times(a, F.lit(1.0) / divisor)
+
+
+def justify_interval(a: Column) -> Column:
+    """Full days of time become days and full thirties of days months, with all parts of one sign."""
+    micros = a["micros"] + (a["days"] + a["months"].cast("long") * 30).cast("long") * DAY
+    sign = F.when(micros < 0, -1).otherwise(1)
+    size = F.abs(micros)
+    days = F.floor(size / DAY).cast("long")
+    return interval(sign * F.floor(days / 30), sign * (days % 30), sign * (size % DAY))
+
+
+def interval_text(a: Column) -> Column:
+    """The default style: ``1 year 2 mons -3 days 04:05:06.7``."""
+    unit = lambda n, one: F.when(n != 0, F.concat(n.cast("string"), F.lit(f" {one}"), F.when(n == 1, "").otherwise("s")))
+    years = F.when(a["months"] < 0, F.ceil(a["months"] / 12)).otherwise(F.floor(a["months"] / 12)).cast("int")
+    size = F.abs(a["micros"])
+    seconds = F.floor(size / 1_000_000).cast("long")
+    two = lambda n: F.lpad(n.cast("string"), 2, "0")
+    hours = F.floor(seconds / 3600).cast("string")
+    part = F.regexp_replace(F.concat(F.lit("."), F.lpad((size % 1_000_000).cast("string"), 6, "0")), r"\.?0+$", "")
+    clock = F.concat(F.when(a["micros"] < 0, "-").otherwise(""), F.when(F.length(hours) < 2, F.lpad(hours, 2, "0")).otherwise(hours), F.lit(":"), two(F.floor(seconds / 60) % 60), F.lit(":"), two(seconds % 60), part)
+    empty = (a["months"] == 0) & (a["days"] == 0)
+    return F.concat_ws(" ", unit(years, "year"), unit(a["months"] - years * 12, "mon"), unit(a["days"], "day"), F.when((a["micros"] != 0) | empty, clock))
+
+
+def isfinite(x: Column) -> Column:
+    """Dates and timestamps read from files are finite; the texts of infinity aren't."""
+    return ~F.lower(x.cast("string")).isin("infinity", "-infinity")

@@ -7,6 +7,7 @@ canonical text need a whole tree at once and run as Arrow-batched UDFs.
 from __future__ import annotations
 
 import json
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column
@@ -75,16 +76,27 @@ def _canonical(x: object) -> str:
         return "{" + ", ".join(f"{json.dumps(k, ensure_ascii=False)}: {_canonical(x[k])}" for k in keys) + "}"
     if isinstance(x, list):
         return "[" + ", ".join(map(_canonical, x)) + "]"
+    if isinstance(x, Decimal):
+        return format(x, "f")  # the digits as written, without an exponent
     return json.dumps(x, ensure_ascii=False)
 
 
+def _refused(token: str) -> None:
+    raise ValueError(f"invalid input syntax for type json: {token}")
+
+
+def _parsed(text: str) -> object:
+    """A tree whose fractions keep their digits; NaN and Infinity are no JSON."""
+    return json.loads(text, parse_float=Decimal, parse_constant=_refused)
+
+
 def _each_text(work):
     """A UDF from ``work(tree, *arguments)`` on parsed trees to canonical text."""
 
     @F.pandas_udf("string")
     def run(*columns: pd.Series) -> pd.Series:
         def one(text, *rest):
-            return None if text is None else work(json.loads(text), *rest)
+            return None if text is None else work(_parsed(text), *rest)
 
         return pd.Series([one(*row) for row in zip(*columns, strict=True)], dtype=object)
 
@@ -137,7 +149,7 @@ def set_path(j: Column, steps: list[str | int], value: Column, create: bool = Tr
                 at = at[s]
             except (KeyError, IndexError, TypeError):
                 return _canonical(x)
-        last, new = steps[-1], json.loads(text)
+        last, new = steps[-1], _parsed(text)
         if isinstance(at, dict):
             if create or last in at:
                 at[last] = new
@@ -161,7 +173,75 @@ def strip_nulls(j: Column) -> Column:
 
 
 def pretty(j: Column) -> Column:
-    return _each_text(lambda x: json.dumps(x, indent=4, ensure_ascii=False))(j)
+    def lines(x, depth):
+        pad, end = "\n" + "    " * (depth + 1), "\n" + "    " * depth
+        if isinstance(x, dict) and x:
+            keys = sorted(x, key=lambda k: (len(k.encode()), k.encode()))
+            return "{" + ",".join(f"{pad}{json.dumps(k, ensure_ascii=False)}: {lines(x[k], depth + 1)}" for k in keys) + end + "}"
+        if isinstance(x, list) and x:
+            return "[" + ",".join(pad + lines(v, depth + 1) for v in x) + end + "]"
+        return _canonical(x)
+
+    return _each_text(lambda x: lines(x, 0))(j)
+
+
+def element(j: Column, step: str | int) -> Column:
+    """``j -> step`` as canonical text; null where there is no such member."""
+
+    def work(x):
+        if isinstance(x, dict) and isinstance(step, str) and step in x:
+            return _canonical(x[step])
+        if isinstance(x, list) and isinstance(step, int) and -len(x) <= step < len(x):
+            return _canonical(x[step])
+        return None
+
+    return _each_text(work)(j)
+
+
+def insert_path(j: Column, steps: list[str | int], value: Column, after: bool = False) -> Column:
+    """``jsonb_insert``: before or after an array's element, or a new key; a key that is there is an error."""
+
+    def work(x, text):
+        at = x
+        for s in steps[:-1]:
+            try:
+                at = at[s]
+            except (KeyError, IndexError, TypeError):
+                return _canonical(x)
+        last = steps[-1]
+        if isinstance(at, dict):
+            if last in at:
+                raise ValueError("cannot replace existing key")
+            at[last] = _parsed(text)
+        elif isinstance(at, list) and isinstance(last, int):
+            place = last + len(at) if last < 0 else last
+            at.insert(max(0, place + 1 if after else place), _parsed(text))
+        return _canonical(x)
+
+    return _each_text(work)(j, value)
+
+
+def set_lax(j: Column, steps: list[str | int], value: Column, create: bool = True, null_treatment: str = "use_json_null") -> Column:
+    """``jsonb_set_lax``: what a null value does is said by ``null_treatment``."""
+    if null_treatment == "raise_exception":
+        none = F.raise_error(F.lit("JSON value must not be null")).cast("string")
+    elif null_treatment == "use_json_null":
+        none = set_path(j, steps, F.lit("null"), create)
+    elif null_treatment == "delete_key":
+        none = delete_path(j, steps)
+    elif null_treatment == "return_target":
+        none = canonical(j)
+    else:
+        raise ValueError(f"null_treatment must not be {null_treatment!r}")
+    return F.when(value.isNull(), none).otherwise(set_path(j, steps, F.coalesce(value, F.lit("null")), create))
+
+
+def build_array(*values: Column) -> Column:
+    return F.concat(F.lit("["), F.concat_ws(", ", *[F.coalesce(F.to_json(F.array(v)).substr(F.lit(2), F.length(F.to_json(F.array(v))) - 2), F.lit("null")) for v in values]), F.lit("]"))
+
+
+def row_to_json(*columns: str) -> Column:
+    return to_json(F.struct(*columns))
 
 
 def _contains(a: object, b: object) -> bool:
@@ -179,6 +259,6 @@ def contains(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("boolean")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else _contains(json.loads(p), json.loads(q)) for p, q in zip(x, y, strict=True)], dtype=object)
+        return pd.Series([None if p is None or q is None else _contains(_parsed(p), _parsed(q)) for p, q in zip(x, y, strict=True)], dtype=object)
 
     return run(a, b)

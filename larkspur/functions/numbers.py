@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def round_float(x: Column) -> Column:
@@ -31,13 +35,15 @@ def div(a: Column, b: Column) -> Column:
     return F.call_function("div", a, b)
 
 
+@F.arrow_udf(T.LongType())
+def _gcd(a: pa.Array, b: pa.Array) -> pa.Array:
+    none = np.asarray(pc.or_(a.is_null(), b.is_null()))
+    return pa.array(np.gcd(a.fill_null(0).to_numpy(), b.fill_null(0).to_numpy()), pa.int64(), mask=none)
+
+
 def gcd(a: Column, b: Column) -> Column:
-    """Euclid's algorithm; 64-bit numbers take at most 92 steps."""
-    start = F.struct(F.abs(a.cast("long")).alias("a"), F.abs(b.cast("long")).alias("b"))
-    step = lambda s, _: F.when(s["b"] == 0, s).otherwise(
-        F.struct(s["b"].alias("a"), F.when(s["b"] == 0, F.lit(0)).otherwise(s["a"] % F.when(s["b"] == 0, 1).otherwise(s["b"])).cast("long").alias("b"))
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.lit(92)), start, step, lambda s: s["a"])
+    """The greatest common divisor, by Arrow batch; of two zeros it is 0."""
+    return _gcd(a.cast("long"), b.cast("long"))
 
 
 def lcm(a: Column, b: Column) -> Column:
@@ -73,3 +79,13 @@ def num_nulls(*xs: Column) -> Column:
 
 def num_nonnulls(*xs: Column) -> Column:
     return sum((x.isNotNull().cast("int") for x in xs), F.lit(0))
+
+
+def min_scale(x: Column) -> Column:
+    """Digits after the point that a numeric needs."""
+    return F.length(F.regexp_extract(x.cast("string"), r"\.(\d*?)0*$", 1))
+
+
+def trim_scale(x: Column) -> Column:
+    """A numeric's text without zeros at its end."""
+    return F.regexp_replace(F.regexp_replace(x.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")

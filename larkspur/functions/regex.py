@@ -29,11 +29,10 @@ def replace(s: Column, pattern: str, replacement: str, flags: str = "") -> Colum
     prefix, every = _flags(flags)
     if every:
         return F.regexp_replace(s, prefix + pattern, _replacement(replacement))
-    # what comes before the first match is kept by a lazy group, and the rest by another
-    shifted = re.sub(r"(?<!\\)\$([1-9])", lambda m: f"${int(m[1]) + 1}", _replacement(replacement)).replace("$0", "$2")
-    if "$2" in shifted and "\\&" in replacement:
-        pattern = f"({pattern})"
-    return F.regexp_replace(s, f"{prefix}(?s)^(.*?){pattern}", "$1" + shifted)
+    # what comes before the first match is a group, the match another, so the pattern's own move up by two
+    shifted = re.sub(r"(?<!\\)\$([0-9])", lambda m: f"${int(m[1]) + 2}", _replacement(replacement))
+    inner = re.sub(r"\\(.)", lambda m: f"\\{int(m[1]) + 2}" if m[1] in "1234567" else m[0], pattern)
+    return F.regexp_replace(s, f"{prefix}^((?s:.*?))({inner})", "$1" + shifted)
 
 
 def count(s: Column, pattern: str, start: int = 1, flags: str = "") -> Column:

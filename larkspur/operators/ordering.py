@@ -20,18 +20,38 @@ def distinct_on(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return df.withColumn("__rn", F.row_number().over(by)).where("__rn = 1").drop("__rn")
 
 
+def _edge(df: DataFrame, by: str, n: int, descending: bool) -> DataFrame:
+    """One row: the key of row ``n`` (``__edge``) and how many of the first ``n`` rows have it."""
+    keys = df.select(F.col(by).alias("__k")).orderBy(desc("__k") if descending else asc("__k")).limit(n)
+    # nulls come first in descending order and last in ascending order
+    last = F.min("__k") if descending else F.when(F.count("__k") == F.count("*"), F.max("__k"))
+    edge = keys.agg(last.alias("__edge"), F.count("*").alias("__rows"))
+    same = keys.join(F.broadcast(edge), keys["__k"].eqNullSafe(F.col("__edge"))).agg(F.count("*").alias("__times"))
+    return edge.crossJoin(same)  # one row each
+
+
+def _not_after(key: Column, edge: Column, descending: bool) -> Column:
+    """Whether ``key`` comes before or with ``edge``, nulls included."""
+    if descending:
+        return key.isNull() | F.coalesce(key >= edge, F.lit(False))
+    return edge.isNull() | F.coalesce(key <= edge, F.lit(False))
+
+
 def top_with_ties(df: DataFrame, by: str, n: int, descending: bool = True, offset: int = 0) -> DataFrame:
-    """Rows whose key is no worse than the key of row ``offset + n``; of the first ``offset`` rows none.
+    """Rows ``offset + 1`` to ``offset + n`` in the order of ``by``, and those that tie with the last of them.
 
-    The boundary key comes from a top-k over the key alone; then the rows are filtered.
+    Boundary keys come from a top-k over the key alone; then the rows are filtered.
+    Of the rows that tie at the offset as many as it takes are left out.
     """
-    order = desc(by) if descending else asc(by)
-    edge = df.select(by).orderBy(order).limit(n + offset)
-    edge = edge.agg((F.min if descending else F.max)(by).alias("__edge"))
-    kept = df.join(F.broadcast(edge), F.col(by) >= F.col("__edge") if descending else F.col(by) <= F.col("__edge")).drop("__edge")
+    key = F.col(by)
+    kept = df.join(F.broadcast(_edge(df, by, n + offset, descending)), _not_after(key, F.col("__edge"), descending)).select(df.columns)
     if offset:
-        skipped = Window.orderBy(order)
-        kept = kept.withColumn("__rn", F.row_number().over(skipped)).where(F.col("__rn") > offset).drop("__rn")
+        kept = kept.crossJoin(F.broadcast(_edge(df, by, offset, descending)))
+        tied = key.eqNullSafe(F.col("__edge"))
+        kept = kept.where(tied | ~_not_after(key, F.col("__edge"), descending))
+        number = F.row_number().over(Window.partitionBy(by).orderBy(*df.columns))
+        again = kept.where(tied).withColumn("__rn", number).where("__rn > __times")  # the ties alone
+        kept = kept.where(~tied).select(df.columns).unionByName(again.select(df.columns))
     return kept
 
 

@@ -1,8 +1,8 @@
-"""Window frames that Spark's grammar lacks: GROUPS, and EXCLUDE for invertible aggregates."""
+"""Window frames that Spark's grammar lacks: GROUPS and EXCLUDE."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,29 +20,48 @@ def groups_frame(df: DataFrame, partition: list[str], order: list[Column], low:
 
 
 def exclude(df: DataFrame, partition: list[str], order: list[Column], value: str, what: str, low: int | None = None, high: int | None = None, name: str = "sum") -> DataFrame:
-    """Adds ``sum`` and count of ``value`` over a RANGE frame of whole peer groups without the
-    current row (``row``), its peers (``group``) or its other peers (``ties``).
+    """Adds sum, count, min, max and avg of ``value`` over ``GROUPS BETWEEN low AND high`` without the
+    current row (``row``), its peers (``group``) or its other peers (``ties``); ``low`` and ``high``
+    count peer groups from the current one, null is unbounded.
 
-    Both are invertible, so what is excluded is taken off again; the frame must
-    hold the current row's peers, as any frame from before to after them does.
+    What stays is put together from the frame's parts: the groups before the
+    current one, those after it, and of the current one, if the frame holds it,
+    the rows that stay.  Nothing is subtracted, so any frame and any of the
+    aggregates is right.
     """
     start = Window.unboundedPreceding if low is None else low
     end = Window.unboundedFollowing if high is None else high
     df = df.withColumn("__peer", F.dense_rank().over(Window.partitionBy(*partition).orderBy(*order)))
-    frame = Window.partitionBy(*partition).orderBy("__peer").rangeBetween(start, end)
+    groups = Window.partitionBy(*partition).orderBy("__peer")
     peers = Window.partitionBy(*partition, "__peer")
-    v = F.col(value)
-    own = {"sum": F.coalesce(v, F.lit(0)), "n": v.isNotNull().cast("long")}
-    total = {"sum": F.coalesce(F.sum(v).over(frame), F.lit(0)), "n": F.count(v).over(frame)}
-    group = {"sum": F.coalesce(F.sum(v).over(peers), F.lit(0)), "n": F.count(v).over(peers)}
-    gone: dict[str, Callable[[str], Column]] = {
-        "row": lambda k: own[k],
-        "group": lambda k: group[k],
-        "ties": lambda k: group[k] - own[k],
-        "no others": lambda k: F.lit(0),
-    }
-    n = total["n"] - gone[what]("n")
-    return df.select("*", F.when(n > 0, total["sum"] - gone[what]("sum")).alias(f"{name}_sum"), n.alias(f"{name}_count")).drop("__peer")
+    within = Window.partitionBy(*partition, "__peer").orderBy(*order)
+    v, parts = F.col(value), []
+    if start <= -1:
+        parts.append(groups.rangeBetween(start, min(end, -1)))
+    if end >= 1:
+        parts.append(groups.rangeBetween(max(start, 1), end))
+    own = False
+    if start <= 0 <= end:
+        if what == "row":
+            parts += [within.rowsBetween(Window.unboundedPreceding, -1), within.rowsBetween(1, Window.unboundedFollowing)]
+        elif what == "no others":
+            parts.append(peers)
+        own = what == "ties"
+    columns = []
+    for i, w in enumerate(parts):
+        columns += [F.sum(v).over(w).alias(f"__sum{i}"), F.count(v).over(w).alias(f"__n{i}"), F.min(v).over(w).alias(f"__min{i}"), F.max(v).over(w).alias(f"__max{i}")]
+    if own:
+        columns += [v.alias("__sumo"), v.isNotNull().cast("long").alias("__no"), v.alias("__mino"), v.alias("__maxo")]
+    at = [*range(len(parts)), *(["o"] if own else [])]
+    out = df.select("*", *columns)
+    n = reduce(Column.__add__, [F.col(f"__n{i}") for i in at], F.lit(0).cast("long"))
+    zero = F.lit(0).cast(df.schema[value].dataType)
+    total = F.when(n > 0, reduce(Column.__add__, [F.coalesce(F.col(f"__sum{i}"), zero) for i in at], zero))
+    none = F.lit(None).cast(df.schema[value].dataType)
+    return out.select(
+        *df.columns[:-1], total.alias(f"{name}_sum"), n.alias(f"{name}_count"), (total / F.nullif(n, F.lit(0))).alias(f"{name}_avg"),
+        F.least(none, none, *[F.col(f"__min{i}") for i in at]).alias(f"{name}_min"), F.greatest(none, none, *[F.col(f"__max{i}") for i in at]).alias(f"{name}_max"),
+    )
 
 
 def lag_by(df: DataFrame, partition: list[str], order: list[Column], value: str, offset: Column, name: str, default: Column | None = None) -> DataFrame:

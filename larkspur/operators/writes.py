@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +31,15 @@ def _on(keys: list[str]) -> Column:
     return condition
 
 
+def _null_key(keys: list[str]) -> Column:
+    return reduce(Column.__or__, [F.col(k).isNull() for k in keys], F.lit(False))
+
+
 def insert_do_nothing(target: DataFrame, source: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """``ON CONFLICT DO NOTHING``: the table after, and the rows that went in (the first of each key)."""
-    fresh = source.dropDuplicates(keys).alias("s").join(target.alias("t"), _on(keys), "left_anti").select(*target.columns)
+    """``ON CONFLICT DO NOTHING``: the table after, and the rows that went in (the first of each key).
+    A key with a null conflicts with none."""
+    source = source.where(~_null_key(keys)).dropDuplicates(keys).unionByName(source.where(_null_key(keys)))
+    fresh = source.alias("s").join(target.alias("t"), _on(keys), "left_anti").select(*target.columns)
     return target.unionByName(fresh), fresh
 
 
@@ -48,12 +55,13 @@ def upsert(target: DataFrame, source: DataFrame, keys: list[str], changes: dict[
 
 
 def _once(source: DataFrame, keys: list[str]) -> DataFrame:
-    """Raises, when it runs, if a key comes twice."""
+    """Raises, when it runs, if a key comes twice; keys with a null are never the same."""
     from pyspark.sql import Window
 
     bad = F.raise_error(F.lit("command cannot affect row a second time")).cast("long")
     n = F.count("*").over(Window.partitionBy(*keys))
-    return source.withColumn("__n", F.when(n > 1, bad).otherwise(n)).where("__n = 1").drop("__n")
+    known = source.where(~_null_key(keys)).withColumn("__n", F.when(n > 1, bad).otherwise(n)).where("__n = 1").drop("__n")
+    return known.unionByName(source.where(_null_key(keys)))
 
 
 def update_from(target: DataFrame, source: DataFrame, keys: list[str], changes: dict[str, Column], where: Column | None = None) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 MODULES = (
     "relational", "joins", "aggregates", "windows", "sets", "scalars_text", "scalars_number", "scalars_time",
-    "scalars_nested", "rows", "changes", "streams",
+    "scalars_nested", "rows", "changes", "streams", "definitions",
 )
 
 

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.functions import regex
 from larkspur.operators import srf
 from larkspur.plans import Query, frame, sql
-from larkspur.sources import catalog, copytext
+from larkspur.sources import copytext
 
 
 def _decoded(form: str):
@@ -34,10 +34,6 @@ def _decoded(form: str):
     return build
 
 
-def columns_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return catalog.columns(spark, {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation", "supplier")}).select("table_name", "column_name", "ordinal_position", "data_type")
-
-
 _COPY_SQL = """SELECT c_custkey, CASE WHEN c_custkey % 5 <> 0 THEN c_name || chr(9) || '"x\\y",' || c_mktsegment END AS note, c_acctbal FROM customer"""
 
 QUERIES: list[Query] = [
@@ -59,6 +55,4 @@ QUERIES: list[Query] = [
     frame("copy_csv_round_trip", "customer", _decoded("csv"), _COPY_SQL),
     frame("copy_text_out", "nation", lambda n: copytext.text_lines(n.select("n_nationkey", F.when(F.col("n_regionkey") > 0, F.col("n_name")).alias("n"), F.lit("a\tb\\c").alias("t"))), "SELECT n_nationkey || chr(9) || CASE WHEN n_regionkey > 0 THEN n_name ELSE '\\N' END || chr(9) || 'a\\' || chr(9) || 'b\\\\c' AS value FROM nation"),
     frame("copy_csv_out", "nation", lambda n: copytext.csv_lines(n.select("n_nationkey", F.concat("n_name", F.lit(', "x"')).alias("n"), F.lit(None).cast("string").alias("t"))), "SELECT n_nationkey || ',\"' || n_name || ', \"\"x\"\"\",' AS value FROM nation"),
-    Query("catalog_columns", columns_of, """SELECT table_name, column_name, ordinal_position, data_type FROM (VALUES ('region', 'r_regionkey', 1, 'integer'), ('region', 'r_name', 2, 'text'), ('nation', 'n_nationkey', 1, 'integer'),
-        ('nation', 'n_name', 2, 'text'), ('nation', 'n_regionkey', 3, 'integer'), ('supplier', 's_suppkey', 1, 'bigint'), ('supplier', 's_name', 2, 'text'), ('supplier', 's_nationkey', 3, 'integer'), ('supplier', 's_acctbal', 4, 'double precision')) v(table_name, column_name, ordinal_position, data_type)"""),
 ]

@@ -49,8 +49,8 @@ QUERIES: list[Query] = [
         "SELECT o_orderkey, count(*) FILTER (WHERE o_orderstatus = 'F') OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders"),
     sql("win_distinct_rows", "orders", "SELECT DISTINCT o_orderstatus, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders"),
     sql("top_k_per_group", "orders", "SELECT o_custkey, o_orderkey FROM (SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rn FROM orders) t WHERE rn <= 2"),
-    frame("order_nulls", "lineitem", lambda i: page(i.where("l_orderkey <= 40").select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).alias("q")), [desc("q"), asc("l_orderkey"), asc("l_linenumber")], 25),
-        "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS q FROM lineitem WHERE l_orderkey <= 40 ORDER BY q DESC NULLS FIRST, l_orderkey, l_linenumber LIMIT 25"),
+    frame("order_nulls", "lineitem", lambda i: page(i.select("l_orderkey", "l_linenumber", F.when(F.col("l_linenumber") % 3 != 0, F.col("l_quantity")).alias("q")), [desc("q"), asc("l_orderkey"), asc("l_linenumber")], 25),
+        "SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS q FROM lineitem ORDER BY q DESC NULLS FIRST, l_orderkey, l_linenumber LIMIT 25"),
     sql("limit_offset", "orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10"),
     frame("fetch_with_ties", "part", lambda p: top_with_ties(p, "p_size", 7).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM (SELECT p_partkey, p_size, rank() OVER (ORDER BY p_size DESC) AS r FROM part) WHERE r <= 7"),
     sql("distinct", "customer", "SELECT DISTINCT c_mktsegment, c_nationkey FROM customer"),

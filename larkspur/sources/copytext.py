@@ -97,7 +97,8 @@ def read(
     on_error: str = "stop", reject_limit: int | None = None, force_null: list[str] = (), force_not_null: list[str] = (), **options: str,
 ) -> DataFrame:
     """``COPY ... FROM``: lines to typed rows.  With ``on_error='ignore'`` rows that don't convert are
-    left out, and more than ``reject_limit`` of them are an error."""
+    left out, and more than ``reject_limit`` of them are an error.  A file ends at its line ``\\.``, and
+    with ``header`` its first line is left out."""
     names = schema.names
     sets = {"force_null": frozenset(map(names.index, force_null)), "force_not_null": frozenset(map(names.index, force_not_null))} if form == "csv" else {}
 
@@ -106,10 +107,14 @@ def read(
         for batch in batches:
             yield pd.DataFrame({"fields": [work(x, **options, **sets) for x in batch["value"]]})
 
-    lines = spark.read.text(path).where(F.col("value") != "\\.")
-    if header:  # each file begins with one
-        head = options.get("delimiter", "," if form == "csv" else "\t").join(names)
-        lines = lines.where(F.col("value") != head)
+    # lines keep their order within a block of a file, and blocks theirs within the file
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__file"), place.alias("__at"))
+    ends = lines.groupBy("__file").agg(F.min("__at").alias("__first"), F.min(F.when(F.col("value") == "\\.", F.col("__at"))).alias("__end"))  # one row a file
+    lines = lines.join(ends, "__file").where("__end is null or __at < __end")
+    if header:
+        lines = lines.where("__at <> __first")
+    lines = lines.select("value")
     fields = lines.mapInPandas(decode, "fields array<string>")
     width = F.size("fields")
     bad = width != len(names)

@@ -129,3 +129,31 @@ def test_json(spark):
     assert value(spark, jsons.contains(j, F.lit('{"a":[{"x":2}]}'))) is True
     assert value(spark, jsons.typeof(F.lit("[1]"))) == "array"
     assert value(spark, jsons.element(F.lit("[1,2,3]"), -1)) == "3"
+
+
+def test_replace_first_match(spark):
+    assert value(spark, regex.replace(F.lit("xbxb"), "a|b", "Z")) == "xZxb"
+    assert value(spark, regex.replace(F.lit("a\nb ab"), "a.", "Z")) == "a\nb Z"
+    assert value(spark, regex.replace(F.lit("foobar"), "(o)\\1", "<\\1\\&>")) == "f<ooo>bar"
+
+
+def test_json_keeps_digits(spark):
+    assert value(spark, jsons.canonical(F.lit('{"b":12345678901234567890.123,"a":1e3}'))) == '{"a": 1000, "b": 12345678901234567890.123}'
+    with pytest.raises(PySparkException):
+        value(spark, jsons.canonical(F.lit("[NaN]")))
+
+
+def test_dates_by_template(spark):
+    t = F.lit("2024-05-03 07:08:09").cast("timestamp_ntz")
+    assert value(spark, dates.to_char(t, 'Month|Day|FMMonth|FMDDth|IYYY-IW|J|HH12:MI AM|DDD|"q"D')) == "May      |Friday   |May|3rd|2024-18|2460434|07:08 AM|124|q6"
+    with pytest.raises(ValueError):
+        dates.to_char(t, "RM")
+
+
+@pytest.mark.parametrize("months, days, micros, text, justified", [
+    (14, -3, 3_600_000_000, "1 year 2 mons -3 days 01:00:00", "1 year 1 mon 27 days 01:00:00"), (1, -1, 0, "1 mon -1 days", "29 days"), (0, 0, 0, "00:00:00", "00:00:00"), (0, 0, -1_500_000, "-00:00:01.5", "-00:00:01.5"),
+])
+def test_intervals(spark, months, days, micros, text, justified):
+    i = dates.interval(months, days, micros)
+    assert value(spark, dates.interval_text(i)) == text
+    assert value(spark, dates.interval_text(dates.justify_interval(i))) == justified

@@ -1,7 +1,9 @@
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from larkspur.operators import definitions as D
 from larkspur.operators import writes as W
 from larkspur.operators.recursion import recursive_union
 from larkspur.sources import copybinary, copytext
@@ -100,3 +102,35 @@ def test_copy_binary_round_trip(spark, tmp_path):
     path = str(tmp_path / "b")
     df.write.format("pgcopy").mode("append").save(path)
     assert rows(spark.read.format("pgcopy").schema(df.schema).load(path)) == rows(df)
+
+
+def test_keys_with_a_null_never_conflict(spark):
+    table = spark.createDataFrame([(1, 1), (None, 5)], "k int, v int")
+    source = spark.createDataFrame([(None, 1), (None, 2), (1, 3), (4, 4), (4, 4)], "k int, v int")
+    after, fresh = W.insert_do_nothing(table, source, ["k"])
+    assert sorted(map(tuple, fresh.collect()), key=str) == [(4, 4), (None, 1), (None, 2)] and after.count() == 5
+    once = source.where("v <> 4")
+    assert W.upsert(table, once, ["k"], {"v": F.col("s.v")}).count() == 4
+    with pytest.raises(Exception, match="second time"):
+        W.upsert(table, source, ["k"], {"v": F.col("s.v")}).collect()
+
+
+def test_copy_ends_and_headers(spark, tmp_path):
+    """A file ends at its end mark; only its first line is a header."""
+    (tmp_path / "a.csv").write_text("id,v\n1,a\nid,v\n2,b\n\\.\n3,c\n")
+    (tmp_path / "b.csv").write_text("id,v\n9,z\n")
+    schema = T.StructType.fromDDL("id string, v string")
+    rows = copytext.read(spark, str(tmp_path), schema, "csv", header=True).collect()
+    assert sorted(map(tuple, rows)) == [("1", "a"), ("2", "b"), ("9", "z"), ("id", "v")]
+    assert copytext.read(spark, str(tmp_path), schema, "csv").count() == 6
+
+
+def test_definitions_refuse(spark):
+    df = spark.createDataFrame([(1, "a"), (None, "b")], "k int, v string")
+    with pytest.raises(Exception, match="no partition"):
+        df.select(D.by_range(F.col("k"), {"p": (0, 5)})).collect()
+    assert [r[0] for r in df.select(D.by_range(F.col("k"), {"p": (0, 5)}, "rest")).collect()] == ["p", "rest"]
+    for wrong in (lambda: D.add_column(df, "k", "int"), lambda: D.drop_column(df, "x"), lambda: D.rename_column(df, "x", "y")):
+        with pytest.raises(ValueError):
+            wrong()
+    assert D.fetch(df.where("k is not null"), ["k"], 5, (1,)).count() == 0

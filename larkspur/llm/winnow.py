@@ -1,13 +1,19 @@
 """Document fingerprints by winnowing, in DataFrame expressions only.
 
-Every window of ``GRAM`` words is hashed; of each ``WINDOW`` neighbouring hashes
-the least is chosen, the rightmost of equals, and kept with its position.  So
-any run of ``GRAM + WINDOW - 1`` words that two texts share leaves them a common
+A text's tokens are its words; a word of a script written without spaces, or of
+more than ``LONG`` characters, is a token for each of its characters, so texts
+without white space have windows too.  Every window of ``GRAM`` tokens is
+hashed; of each ``WINDOW`` neighbouring hashes the least is chosen, the rightmost of equals, and kept with its position.  So
+any run of ``GRAM + WINDOW - 1`` tokens that two texts share leaves them a common
 hash, and equal texts have equal fingerprints.  A hash and its position are one
 long, ``hash << 31 | (2^31 - 1 - position)``, so that ``least`` picks by hash
 and then by the later position.
 
-Texts of fewer than ``GRAM`` words have their whole sequence as one window; a
+A window's hash is made from its tokens' hashes, each of which is computed once:
+array functions have no running state from which a hash could be rolled in
+linear time.
+
+Texts of fewer than ``GRAM`` tokens have their whole sequence as one window; a
 text without words, or null, has the empty fingerprint.  Likeness is the Jaccard
 coefficient of the hashes; of two empty fingerprints it is 1, of one it is 0.
 Rows that repeat ``doc_id`` come one after another, by a checksum of the text;
@@ -23,6 +29,9 @@ from larkspur.llm.common import MIN_LONG, checkpointed, keyed
 from larkspur.llm.quality import grams_of, let, words_of
 
 GRAM, WINDOW = 5, 4
+#: Words of more characters, and scripts written without spaces, are taken by character.
+LONG = 32
+UNSPACED = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 _LOW = (1 << 31) - 1
 #: Documents in one bucket of the order by ``doc_id``, about.
 BUCKET = 20_000
@@ -30,6 +39,18 @@ BUCKET = 20_000
 MOST_BUCKETS = 2000
 
 
+def tokens_of(text: Column) -> Column:
+    """Words, and the characters of those that white space doesn't divide."""
+    wide = (F.length(text) < F.octet_length(text)) & text.rlike(UNSPACED)
+    spaced = F.when(wide, F.regexp_replace(text, f"({UNSPACED})", " $1 ")).otherwise(text)
+
+    def divided(words: Column) -> Column:
+        letters = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, F.array_remove(F.split(w, ""), "")).otherwise(F.array(w))))
+        return F.when(F.exists(words, lambda w: F.length(w) > LONG), letters).otherwise(words)
+
+    return let(words_of(spaced), divided)
+
+
 def fingerprint(text: Column) -> Column:
     """Chosen hashes with their positions, each packed in a long, in text order."""
 
@@ -45,7 +66,7 @@ def fingerprint(text: Column) -> Column:
         many = F.transform(F.slice(keys, 1, F.greatest(F.size(keys) - (WINDOW - 1), F.lit(0))), window)
         return F.when(F.size(keys) < WINDOW, few).otherwise(F.array_distinct(many))
 
-    return let(words_of(text), choose)
+    return let(tokens_of(text), choose)
 
 
 def hashes(keys: Column) -> Column:
@@ -54,7 +75,7 @@ def hashes(keys: Column) -> Column:
 
 
 def positions(keys: Column) -> Column:
-    """Where the chosen windows begin, counted in words from 0."""
+    """Where the chosen windows begin, counted in tokens from 0."""
     return F.transform(keys, lambda k: (F.lit(_LOW).cast("long") - k.bitwiseAND(F.lit(_LOW).cast("long"))).cast("int"))
 
 

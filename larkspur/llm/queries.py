@@ -11,7 +11,7 @@ from larkspur.llm import chat
 from larkspur.llm.common import load
 from larkspur.llm.html_crf import extract
 from larkspur.llm.jaccard_join import jaccard_join
-from larkspur.llm.licenses import scan_licenses, templates
+from larkspur.llm.licenses import anchors, bigrams, scan_licenses, templates
 from larkspur.llm.mixing import mix
 from larkspur.llm.packing import pack
 from larkspur.llm.quality import quality
@@ -162,29 +162,24 @@ SELECT conv_id, n_turns, turns_sha256, length(loss) AS loss_chars, sha256(loss)
 
 
 def _op9_sql() -> str:
-    """The same comparison written with list functions."""
-    known = templates()
-    values = ", ".join("({}, '{}', [{}])".format(-i, name, ", ".join(f"'{b}'" for b in bigrams)) for i, (name, bigrams) in enumerate(known))
+    """The same comparison with joins instead of array functions."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    known = [(t, name, len(words), sorted(set(bigrams(words)))) for t, (name, words) in enumerate(templates())]
+    values = ", ".join(f"({t}, {quoted(name)}, {n}, [{', '.join(map(quoted, pairs))}])" for t, name, n, pairs in known)
+    places = ", ".join(f"({quoted(pair)}, {t}, {o})" for pair, own in anchors().items() for t, o in own)
     return rf"""
-WITH t(place, license, pairs) AS (VALUES {values}),
-d AS (SELECT row_number() OVER () AS row_id, doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS clean FROM documents),
-u AS (
-  SELECT row_id, doc_id, list_distinct(list_filter(list_transform(list_concat(string_split(clean, chr(10)),
-    list_transform(string_split_regex(clean, '\n[ \n]*\n'), lambda p: replace(p, chr(10), ' '))),
-    lambda x: trim(regexp_replace(x, ' +', ' ', 'g'), ' ')), lambda x: x <> '')) AS units
-  FROM d
-), x AS (
-  SELECT row_id, w.unit, list_distinct(list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1])) AS pairs
-  FROM (SELECT row_id, unnest(units) AS unit FROM u) w, LATERAL (SELECT string_split(w.unit, ' ') AS words)
-), s AS (
-  SELECT row_id, unit, place, license, 2.0::DOUBLE * len(list_intersect(x.pairs, t.pairs)) / (len(x.pairs) + len(t.pairs)) AS dice
-  FROM x JOIN t ON len(x.pairs) BETWEEN len(t.pairs) * 0.8 / 1.2 AND len(t.pairs) * 1.2 / 0.8
-), hits AS (
-  SELECT row_id, count(DISTINCT unit) AS n_matches, arg_max(license, (dice, place)) AS license, max(dice) AS dice
-  FROM s WHERE dice >= 0.8 GROUP BY row_id
-)
-SELECT doc_id, len(units)::BIGINT AS n_units, coalesce(n_matches, 0) AS n_matches, license, round(dice, 6) AS dice
-FROM u LEFT JOIN hits USING (row_id)
+WITH t(t, license, n_words, pairs) AS (VALUES {values}), anchors(pair, t, o) AS (VALUES {places}),
+d AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' ') AS words FROM documents),
+p AS (SELECT row_id, words, unnest(range(1, len(words))) AS i FROM d),
+c AS (SELECT DISTINCT row_id, a.t, i - 1 - o AS start FROM p JOIN anchors a ON a.pair = words[i] || ' ' || words[i + 1]),
+w AS (SELECT row_id, t.t, license, pairs, greatest(start, 0) AS b, greatest(start, 0) + n_words + least(start, 0) AS e, words[greatest(start, 0) + 1 : greatest(start, 0) + n_words + least(start, 0)] AS own
+  FROM c JOIN t USING (t) JOIN d USING (row_id)),
+x AS (SELECT *, list_distinct(list_transform(range(1, len(own)), lambda i: own[i] || ' ' || own[i + 1])) AS found FROM w),
+s AS (SELECT row_id, t, license, b, e, 2.0::DOUBLE * len(list_intersect(found, pairs)) / (len(found) + len(pairs)) AS dice FROM x),
+h AS (SELECT * FROM s WHERE dice >= 0.8),
+k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.row_id = h.row_id AND (g.dice > h.dice OR (g.dice = h.dice AND g.t < h.t)) AND g.b < h.e AND h.b < g.e)),
+best AS (SELECT row_id, license, max(dice) AS dice, arg_min(b, (-dice, b)) AS place FROM k GROUP BY row_id, license)
+SELECT doc_id, license, round(dice, 6) AS dice, place::BIGINT AS place FROM d LEFT JOIN best USING (row_id)
 """
 
 

@@ -4,6 +4,7 @@ import hashlib
 import re
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from larkspur.llm import licenses, quality, winnow
@@ -31,6 +32,45 @@ def test_op2_on_a_table(spark, sf_dir, documents):
         assert abs(r.near_edited - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
 
 
+UNSPACED = re.compile(r"[\u3400-\u4dbf\u4e00-\u9fff\u3040-\u30ff\u0e00-\u0e3a\u0e40-\u0e5b]")
+
+
+def winnowed(text):
+    """(hash, position) by brute force: every window, the least of each WINDOW, rightmost of equals."""
+    words = [x for w in WORD.findall(UNSPACED.sub(r" \g<0> ", text or "")) for x in ([w] if len(w) <= winnow.LONG else w)]
+    if not words:
+        return []
+    if len(words) < winnow.GRAM:
+        grams = [xxhash.xxh64(" ".join(words).encode(), 42).intdigest()]
+    else:
+        own = [xxhash.xxh64(w.encode(), 42).intdigest() for w in words]
+        grams = []
+        for i in range(len(words) - winnow.GRAM + 1):
+            h = 42
+            for x in own[i : i + winnow.GRAM]:
+                h = xxhash.xxh64(x.to_bytes(8, "little"), h).intdigest()
+            grams.append(h)
+    keys = [(g >> 33, -i) for i, g in enumerate(grams)]
+    n = len(keys)
+    chosen = {min(keys[i : i + winnow.WINDOW]) for i in range(max(1, n - winnow.WINDOW + 1))}
+    return sorted(((h, -i) for h, i in chosen), key=lambda x: x[1])
+
+
+def test_op2_fingerprints_by_brute_force(spark, documents):
+    han = "".join(chr(0x4E00 + i * 37 % 2000) for i in range(120))
+    texts = ["", "one", "a b c d", "a b c d e f g h", "z " * 12, han, "prefix " + han[:40] + " and more words after it", "x" * 33 + " y", "é" * 80, "ab" * 500]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(1000 + r.doc_id, r.text) for r in documents.where("doc_id < 60").collect()]
+    got = {r.doc_id: r for r in winnow.winnow(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    plain = {d: winnowed(t) for d, t in rows}
+    order = sorted(plain, reverse=True)
+    for d, after in zip(order, order[1:] + order[:1], strict=True):
+        low = (1 << 31) - 1
+        assert [(k >> 31, low - (k & low)) for k in got[d]["keys"]] == plain[d]
+        a, b = ({h for h, _ in plain[x]} for x in (d, after))
+        assert abs(got[d].near_next - (len(a & b) / len(a | b) if a | b else 1.0)) < 1e-9
+    assert got[5].near_edited > 0.4  # a text without white space, two thirds of it as before
+
+
 def test_winnowing_guarantee(spark):
     """A run of GRAM + WINDOW - 1 words that two texts share leaves them a common hash."""
     shared = " ".join(f"s{i}" for i in range(winnow.GRAM + winnow.WINDOW - 1))
@@ -100,10 +140,29 @@ def test_op9_against_sql(spark, sf_dir):
 
 
 def test_op9_finds_each_template(spark):
-    rows = [(i, f"Some text before.\n{t}\nand after", n) for i, (n, t) in enumerate((n, t) for n, ts in licenses.TEMPLATES.items() for t in ts)]
+    """Each template alone, and in the middle of a paragraph without line breaks."""
+    every = [(n, t) for n, ts in licenses.TEMPLATES.items() for t in ts]
+    rows = [(2 * i + j, f"Some text before, {t} and after it" if j else t, n) for i, (n, t) in enumerate(every) for j in (0, 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, want string")
-    got = {r.doc_id: (r.license, r.dice) for r in licenses.scan_licenses(df).collect()}
-    assert got == {i: (n, 1.0) for i, _, n in rows}
+    got = {}
+    for r in licenses.scan_licenses(df).collect():
+        got.setdefault(r.doc_id, {})[r.license] = r.dice
+    same = {t: {n for n, x in every if licenses.normal_words(x) == licenses.normal_words(t)} for _, t in every}
+    for i, text, n in rows:
+        assert set(got[i]) <= same[every[i // 2][1]] and max(got[i].values()) == 1.0, (text, n, got[i])
+
+
+def test_op9_edits_and_several_licences(spark):
+    mit, isc = licenses.TEXTS["MIT"][0], licenses.TEXTS["ISC"][0]
+    commented = "\n".join(" * " + " ".join(mit.split()[i : i + 9]) for i in range(0, len(mit.split()), 9))
+    rows = [
+        (1, commented), (2, mit.replace("Software", "Library")), (3, isc + "\n\nSome prose between them.\n\n" + "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+        (4, licenses.TEXTS["BSD-3-Clause"][0]), (5, licenses.TEXTS["BSD-2-Clause"][0]), (6, "// SPDX-License-Identifier: MIT\nint main() {}"), (7, "You need a licence to drive a car; permission is granted by the office."), (None, "MIT License " + mit),
+    ]
+    got = {}
+    for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got == {1: {"MIT"}, 2: {"MIT"}, 3: {"ISC", "CC-BY-4.0"}, 4: {"BSD-3-Clause"}, 5: {"BSD-2-Clause"}, 6: {"MIT"}, 7: {None}, None: {"MIT"}}
 
 
 def test_op9_odd_rows(odd, none):

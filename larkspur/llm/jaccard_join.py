@@ -61,6 +61,8 @@ SIGNS = 8
 HELD = 50_000
 #: Rows of torn shingles joined in one place, documents of one such shingle that meet there, and pairs made at once.
 PIECE, CELL, AT_ONCE = 100_000, 20_000, 2_000_000
+#: Components of more than one piece that may be broadcast.
+MANY = 100_000
 
 _words = RollingHash(37)
 _lower = np.arange(256, dtype=np.uint8)
@@ -462,6 +464,8 @@ def torn_pairs(rows: DataFrame, percent: int) -> DataFrame:
     rows = rows.select("*", F.explode(cells).alias("spot")).select("*", "spot.*")
     # the few components whose shingles fill more than one piece
     many = rows.groupBy("big").agg(F.ceil(F.count("*") / PIECE).cast("int").alias("pieces")).where("pieces > 1")
+    many = checkpointed(many)
+    many = F.broadcast(many) if many.count() <= MANY else many
     signs = [f"sign{i}" for i in range(SIGNS)]
     rows = rows.join(many, "big", "left").select(
         "token", "cell", F.pmod(F.xxhash64("token", "cell"), F.coalesce("pieces", F.lit(1))).alias("piece"), c("big.d").alias("bd"), c("big.tag").alias("btag"), "xs", "ys", "outside",

@@ -8,10 +8,10 @@ one document given twice.
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_LONG = -(1 << 63)
+#: Spark's setting that removes an action's shuffle files when the action has ended.
+DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -32,23 +34,31 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Actions begun inside leave no shuffle files: what they made is a table or a checkpoint by then."""
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    spark.conf.set(DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(DROP_SHUFFLES) if before is None else spark.conf.set(DROP_SHUFFLES, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut lineage in the checkpoint folder."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    with shuffles_dropped(spark):
+        return df.select("*").checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
-    """Cut lineage like :func:`checkpointed`, as a compressed table in a new folder there.
-
-    Shuffle files as large as the input lie behind such a table; Spark removes them
-    when the driver collects its garbage, so that is asked for.
-    """
+    """Cut lineage like :func:`checkpointed`, as a compressed table in a new folder there."""
     spark, schema = df.sparkSession, df.schema
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    with shuffles_dropped(spark):
+        df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from larkspur.llm import jaccard_join as J
 from larkspur.llm import suffix_dedup as S
-from larkspur.llm.common import components
+from larkspur.llm.common import DROP_SHUFFLES, checkpointed, components, written
 from larkspur.llm.jaccard_join import jaccard_join
 from larkspur.llm.queries import QUERIES
 from larkspur.llm.winnow import winnow
@@ -196,3 +196,16 @@ def test_texts_of_one_id_with_like_checksums(spark):
     cut = S.suffix_dedup(df).select("row.doc_id", "row.text", "n_removed").collect()
     assert {(r.doc_id, r.text): r.n_removed for r in cut} == {(None, one): 0, (None, two): 0, (5, one): len(one)}
     assert len(winnow(df).collect()) == 4
+
+
+def test_tables_leave_no_shuffle_setting_behind(spark):
+    before = spark.conf.get(DROP_SHUFFLES, None)
+    counts = spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count()
+    want = sorted(map(tuple, counts.collect()))
+    for cut in (checkpointed, written):
+        assert sorted(map(tuple, cut(counts).collect())) == want
+        assert spark.conf.get(DROP_SHUFFLES, None) == before
+    with pytest.raises(Exception, match="no such thing"):
+        written(spark.range(1).selectExpr("raise_error('no such thing') AS x"))
+    assert spark.conf.get(DROP_SHUFFLES, None) == before
+    assert sorted(map(tuple, counts.collect())) == want  # its own shuffle is made again

@@ -137,10 +137,13 @@ def similar_to(s: Column, pattern: str, escape: str = "\\") -> Column:
     return s.rlike(similar_pattern(pattern, escape))
 
 
-def size_pretty(n: Column) -> Column:
-    """Bytes, then kB, MB and so on, each once ten of the unit before fill 1024, rounded half up."""
+SIZE_UNITS = ("bytes", "kB", "MB", "GB", "TB")
+
+
+def size_pretty(n: Column, largest: str = "TB") -> Column:
+    """Bytes, then kB, MB and so on up to ``largest``, each once ten of the unit before fill 1024, rounded half up."""
     out, unit = None, n.cast("long")
-    for k, name in enumerate(("bytes", "kB", "MB", "GB", "TB")):
+    for k, name in enumerate(SIZE_UNITS[: SIZE_UNITS.index(largest) + 1]):
         value = unit if k == 0 else F.floor((F.abs(n.cast("decimal(38,0)")) / F.lit(1 << (10 * k - 1)).cast("decimal(38,0)")).cast("decimal(38,6)") )
         shown = n.cast("long") if k == 0 else F.when(n < 0, -F.floor((value + 1) / 2)).otherwise(F.floor((value + 1) / 2)).cast("long")
         text = F.concat(shown.cast("string"), F.lit(" " + name))

@@ -2,12 +2,14 @@
 
 import decimal
 
+import duckdb
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from larkspur.functions import arrays, bits, dates, jsons, net, numbers, ranges, regex, strings
 from larkspur.functions.templates import number_text, to_char, to_number
+from larkspur.registry import ORACLES, QUERIES
 
 
 def value(spark, column):
@@ -46,6 +48,21 @@ def test_strings(spark):
         value(spark, strings.substr(F.lit("abc"), 1, -1))
 
 
+def test_size_pretty_stops_at_the_largest_unit(spark):
+    sizes = [10239, 10240, 10485247, 10485248, 44_400_000, 1 << 40]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select(strings.size_pretty(F.col("n")), strings.size_pretty(F.col("n"), "kB")).collect()
+    assert [r[0] for r in rows] == ["10239 bytes", "10 kB", "10239 kB", "10 MB", "42 MB", "1024 GB"]
+    assert [r[1] for r in rows] == ["10239 bytes", "10 kB", "10239 kB", "10240 kB", "43359 kB", f"{1 << 30} kB"]
+
+
+def test_str_size_pretty_of_large_keys(spark, tmp_path):
+    spark.range(280_000, 290_000, 7).selectExpr("id AS p_partkey", "'' AS p_name", "'' AS p_type", "1 AS p_size").write.parquet(str(tmp_path / "part.parquet"))
+    with duckdb.connect() as con:
+        con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+        want = dict(con.sql(ORACLES["str_size_pretty"]).fetchall())
+    assert {r.p_partkey: r.v for r in QUERIES["str_size_pretty"](spark, str(tmp_path)).collect()} == want
+
+
 def test_regex(spark):
     assert value(spark, regex.replace(F.lit("foobarbaz"), "b..", "X")) == "fooXbaz"
     assert value(spark, regex.replace(F.lit("foobarbaz"), "b..", "X", "g")) == "fooXX"

@@ -28,6 +28,21 @@ def overlap_join(left: DataFrame, right: DataFrame, left_span: tuple[Column, Col
     return out.drop("__bin", "__low_a", "__high_a", "__low_b", "__high_b")
 
 
+def overlap_counts(left: DataFrame, right: DataFrame, left_span: tuple[Column, Column], right_span: tuple[Column, Column], width: float, name: str = "n") -> DataFrame:
+    """Adds to each row of ``left`` that overlaps any how many spans of ``right`` it overlaps.
+
+    Distinct spans are joined, each with its number of rows, so rows that share
+    a span never expand into pairs.
+    """
+    low, high = left_span
+    left = left.withColumn("__low", low).withColumn("__high", high)
+    spans = left.select("__low", "__high").distinct()
+    many = right.select(right_span[0].alias("__from"), right_span[1].alias("__to")).groupBy("__from", "__to").agg(F.count("*").alias("__many"))
+    pairs = overlap_join(spans, many, (F.col("__low"), F.col("__high")), (F.col("__from"), F.col("__to")), width)
+    counts = pairs.groupBy("__low", "__high").agg(F.sum("__many").alias(name))
+    return left.join(counts, ["__low", "__high"]).drop("__low", "__high")
+
+
 def greater_than_all(df: DataFrame, x: str, values: DataFrame, y: str) -> DataFrame:
     """``x > ALL (SELECT y ...)``: true of an empty list, never true if the list has a null."""
     edge = values.agg(F.max(y).alias("__max"), F.count("*").alias("__n"), F.count(y).alias("__some"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.operators.joins import greater_than_all, less_than_any, overlap_join
+from larkspur.operators.joins import greater_than_all, less_than_any, overlap_counts
 from larkspur.operators.recursion import recursive_union
 from larkspur.plans import Query, frame, sql
 
@@ -15,8 +15,9 @@ def overlapping_orders(orders: DataFrame, items: DataFrame) -> DataFrame:
     day = lambda c: F.unix_date(F.col(c).cast("date")).cast("double")
     dear = orders.where("o_totalprice > 350000").select("o_orderkey", day("o_orderdate").alias("a"))
     ship = items.where("l_quantity >= 45").select("l_orderkey", "l_linenumber", day("l_shipdate").alias("b"))
-    out = overlap_join(dear, ship, (F.col("a"), F.col("a") + 10), (F.col("b"), F.col("b") + 3), 10)
-    return out.groupBy("o_orderkey").agg(F.count("*").alias("n"))
+    dear = dear.groupBy("o_orderkey", "a").agg(F.count("*").alias("m"))
+    out = overlap_counts(dear, ship, (F.col("a"), F.col("a") + 10), (F.col("b"), F.col("b") + 3), 10)
+    return out.groupBy("o_orderkey").agg(F.sum(F.col("m") * F.col("n")).alias("n"))
 
 
 def reach(nation: DataFrame) -> DataFrame:

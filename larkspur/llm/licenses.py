@@ -1,17 +1,16 @@
 """Licence scans by the Dice coefficient over word bigrams, in DataFrame expressions only.
 
 A text is lower-cased and everything but letters and digits becomes a space.
-Wherever one of a template's anchors stands, up to four of its own bigrams that
-hold a stem such as ``licen``, the window of the template's length around it is
-compared with the template, so notices are found inside prose and long lines,
-full texts across paragraphs, and edits cost only what they change.  A window
-whose distinct bigrams are too few for the coefficient to reach the threshold is
-pruned: with ``m`` bigrams in the template it needs ``m t / (2 - t)``.  Texts
-without any stem have no anchors and are passed over.
-
-Of windows that overlap, those of a lesser coefficient go (of equal ones, those
-of the later template), so a text of one licence isn't reported as its relatives
-too.  A text may hold several licences: each is one row.
+A template is compared with every window of its length in a text, cut where the
+text begins or ends, so notices are found inside prose and long lines, full texts
+across paragraphs, and edits cost only what they change.  Two bounds pass over
+what can't reach the threshold, and lose nothing: of a template's ``m`` distinct
+bigrams, a window needs ``m t / (2 - t)``, and so does its text.
+
+Windows are taken best first (of equal ones, those of the earlier template, then
+the first), and those that overlap one taken before go, so a text of one licence
+isn't reported as its relatives too.  A text may hold several licences: each is
+one row.
 
 Null texts have no words; an empty table gives no rows; repeated rows each get
 their result, as do rows of null id.
@@ -19,6 +18,7 @@ their result, as do rows of null id.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -27,9 +27,6 @@ from pyspark.sql import functions as F
 from larkspur.llm.quality import let
 
 THRESHOLD = 0.8
-#: Every anchor holds one of these.
-STEMS = ("licen", "permission", "redistribut", "warrant", "copyright", "domain", "liab")
-ANCHORS = 4
 
 # Licence texts and notices as published, by SPDX name.
 _DISCLAIMER = (
@@ -139,19 +136,9 @@ def bigrams(words: list[str]) -> list[str]:
     return [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
 
 
-def anchors() -> dict[str, list[tuple[int, int]]]:
-    """Anchor bigram to ``(template, offset)``: the rarest among all templates of those with a stem."""
-    known = [bigrams(words) for _, words in templates()]
-    held: dict[str, int] = {}
-    for pairs in known:
-        for b in set(pairs):
-            held[b] = held.get(b, 0) + 1
-    out: dict[str, list[tuple[int, int]]] = {}
-    for t, pairs in enumerate(known):
-        places = {b: o for o, b in reversed(list(enumerate(pairs))) if any(s in b for s in STEMS)}
-        for b in sorted(places, key=lambda b: (held[b], places[b]))[:ANCHORS]:
-            out.setdefault(b, []).append((t, places[b]))
-    return dict(sorted(out.items()))
+def needed(pairs: int, threshold: float) -> int:
+    """Of so many distinct bigrams of a template, those that a window must hold."""
+    return max(1, math.ceil(pairs * threshold / (2 - threshold) - 1e-9))
 
 
 def _listed(items: list[str]) -> Column:
@@ -161,50 +148,53 @@ def _listed(items: list[str]) -> Column:
 
 def found_licenses(text: Column, threshold: float = THRESHOLD) -> Column:
     """``array<struct<license, dice, place>>`` of a text, one entry a licence, in order of name."""
-    known, places = templates(), anchors()
-    pairs_of = F.array(*[_listed(sorted(set(bigrams(words)))) for _, words in known])
+    known = templates()
+    held = [sorted(set(bigrams(words))) for _, words in known]
+    pairs_of, every = F.array(*map(_listed, held)), _listed(sorted(set().union(*held)))
     names, lengths = _listed([name for name, _ in known]), F.array(*[F.lit(len(words)) for _, words in known])
-    uses = F.split(F.lit("|".join(",".join(f"{t}:{o}" for t, o in own) for own in places.values())), r"\|")
-    anchor_list = _listed(list(places))
+    need, numbers = F.array(*[F.lit(needed(len(x), threshold)) for x in held]), F.array(*[F.lit(t) for t in range(len(known))])
 
     def score(words: Column) -> Column:
-        at = F.transform(words, lambda w, i: F.struct(i.alias("i"), F.array_position(anchor_list, F.concat(w, F.lit(" "), F.get(words, i + 1))).cast("int").alias("a")))
-        at = F.filter(at, lambda x: x["a"] > 0)
+        pairs = F.transform(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(words, i + 1)))
+        return let(pairs, lambda pairs: let(F.array_intersect(pairs, every), lambda some: scored(pairs, some)))
+
+    def scored(pairs: Column, some: Column) -> Column:
+        likely = F.filter(numbers, lambda t: (F.size(some) >= F.get(need, t)) & (F.size(F.array_intersect(some, F.get(pairs_of, t))) >= F.get(need, t)))
 
-        def window(use: Column, i: Column) -> Column:
-            t = F.split_part(use, F.lit(":"), F.lit(1)).cast("int")
-            return F.struct(t.alias("t"), (i - F.split_part(use, F.lit(":"), F.lit(2)).cast("int")).alias("start"))
+        def windows(t: Column) -> Column:
+            """Those that hold enough of the template's bigrams, each found from the first that it holds."""
+            at = F.transform(pairs, lambda b, i: F.when(F.array_contains(F.get(pairs_of, t), b), i))
+            return let(F.filter(at, lambda i: i.isNotNull()), lambda at: F.flatten(F.transform(at, lambda i, k: starts(t, at, i, k))))
 
-        windows = F.array_distinct(F.flatten(F.transform(at, lambda x: F.transform(F.split(F.element_at(uses, x["a"]), ","), lambda use: window(use, x["i"])))))
+        def starts(t: Column, at: Column, i: Column, k: Column) -> Column:
+            low = F.greatest(F.get(at, k + F.get(need, t) - 1) - F.get(lengths, t) + 2, F.coalesce(F.get(at, k - 1) + 1, F.lit(-(1 << 30))))
+            some = F.when(F.get(at, k + F.get(need, t) - 1).isNotNull() & (low <= i), F.sequence(low, i)).otherwise(F.array().cast("array<int>"))
+            return F.transform(some, lambda s: F.struct(t.alias("t"), s.alias("start")))
 
         def dice(x: Column) -> Column:
             begin, length = F.greatest(x["start"], F.lit(0)), F.get(lengths, x["t"]) + F.least(x["start"], F.lit(0))
-            own = F.slice(words, begin + 1, F.greatest(length, F.lit(0)))
-
-            def compare(own: Column) -> Column:
-                pairs = F.array_distinct(F.transform(F.slice(own, 1, F.greatest(F.size(own) - 1, F.lit(0))), lambda w, i: F.concat(w, F.lit(" "), F.get(own, i + 1))))
-                return let(pairs, lambda p: let(F.get(pairs_of, x["t"]), lambda q: ratio(p, q)))
+            own = F.array_distinct(F.slice(pairs, begin + 1, F.greatest(length - 1, F.lit(0))))
 
             def ratio(p: Column, q: Column) -> Column:
                 fits = F.size(p) >= F.size(q) * F.lit(threshold / (2 - threshold))
                 return F.when(fits, F.lit(2.0) * F.size(F.array_intersect(p, q)) / (F.size(p) + F.size(q))).otherwise(0.0)
 
-            return F.struct(x["t"].alias("t"), begin.alias("begin"), (begin + length).alias("end"), let(own, compare).alias("dice"))
+            return F.struct(x["t"].alias("t"), begin.alias("begin"), (begin + length).alias("end"), let(own, lambda p: let(F.get(pairs_of, x["t"]), lambda q: ratio(p, q))).alias("dice"))
 
-        hits = F.filter(F.transform(windows, dice), lambda h: h["dice"] >= threshold)
-        return let(hits, best)
+        return best(F.filter(F.flatten(F.transform(likely, lambda t: F.transform(windows(t), dice))), lambda h: h["dice"] >= threshold))
 
     def best(hits: Column) -> Column:
-        better = lambda g, h: (g["dice"] > h["dice"]) | ((g["dice"] == h["dice"]) & (g["t"] < h["t"]))
-        over = lambda h: F.exists(hits, lambda g: better(g, h) & (g["begin"] < h["end"]) & (h["begin"] < g["end"]))
-        kept = F.transform(F.filter(hits, lambda h: ~over(h)), lambda h: F.struct(F.get(names, h["t"]).alias("license"), (-h["dice"]).alias("less"), h["begin"].alias("at")))
+        by = F.sort_array(F.transform(hits, lambda h: F.struct((-h["dice"]).alias("less"), h["t"], h["begin"], h["end"])))
+        none = F.array().cast("array<struct<less double, t int, begin int, end int>>")
+        free = lambda kept, h: ~F.exists(kept, lambda g: (g["begin"] < h["end"]) & (h["begin"] < g["end"]))
+        taken = F.aggregate(by, none, lambda kept, h: F.when(free(kept, h), F.concat(kept, F.array(h))).otherwise(kept))
+        kept = F.transform(taken, lambda h: F.struct(F.get(names, h["t"]).alias("license"), h["less"], h["begin"].alias("at")))
         # in order of licence, then the best and first of its windows
         first = lambda k, x, i: (i == 0) | (x["license"] != F.get(k, i - 1)["license"])
         return let(F.sort_array(kept), lambda k: F.transform(F.filter(k, lambda x, i: first(k, x, i)), lambda x: F.struct(x["license"], F.round(-x["less"], 6).alias("dice"), x["at"].cast("long").alias("place"))))
 
     clean = F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
-    none = F.array().cast("array<struct<license string, dice double, place bigint>>")
-    return F.when(F.lower(text).rlike("|".join(STEMS)), let(F.split(clean, " "), score)).otherwise(none)
+    return let(F.split(clean, " "), score)
 
 
 def scan_licenses(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

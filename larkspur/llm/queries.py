@@ -11,7 +11,7 @@ from larkspur.llm import chat
 from larkspur.llm.common import load
 from larkspur.llm.html_crf import extract
 from larkspur.llm.jaccard_join import jaccard_join
-from larkspur.llm.licenses import anchors, bigrams, scan_licenses, templates
+from larkspur.llm.licenses import bigrams, scan_licenses, templates
 from larkspur.llm.mixing import mix
 from larkspur.llm.packing import pack
 from larkspur.llm.quality import quality
@@ -166,19 +166,20 @@ def _op9_sql() -> str:
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     known = [(t, name, len(words), sorted(set(bigrams(words)))) for t, (name, words) in enumerate(templates())]
     values = ", ".join(f"({t}, {quoted(name)}, {n}, [{', '.join(map(quoted, pairs))}])" for t, name, n, pairs in known)
-    places = ", ".join(f"({quoted(pair)}, {t}, {o})" for pair, own in anchors().items() for t, o in own)
     return rf"""
-WITH t(t, license, n_words, pairs) AS (VALUES {values}), anchors(pair, t, o) AS (VALUES {places}),
+WITH RECURSIVE t(t, license, n_words, pairs) AS (VALUES {values}), b AS (SELECT t, len(pairs) AS m, unnest(pairs) AS pair FROM t),
 d AS (SELECT row_number() OVER () AS row_id, doc_id, string_split(trim(regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}]+', ' ', 'g'), ' '), ' ') AS words FROM documents),
-p AS (SELECT row_id, words, unnest(range(1, len(words))) AS i FROM d),
-c AS (SELECT DISTINCT row_id, a.t, i - 1 - o AS start FROM p JOIN anchors a ON a.pair = words[i] || ' ' || words[i + 1]),
+p AS (SELECT DISTINCT row_id, words[i] || ' ' || words[i + 1] AS pair FROM (SELECT row_id, words, unnest(range(1, len(words))) AS i FROM d)),
+g AS (SELECT row_id, t FROM p JOIN b USING (pair) GROUP BY row_id, t, m HAVING 1.2 * count(*) >= 0.8 * m),
+c AS (SELECT row_id, t, unnest(range(2 - n_words, len(words) - 1)) AS start FROM g JOIN t USING (t) JOIN d USING (row_id)),
 w AS (SELECT row_id, t.t, license, pairs, greatest(start, 0) AS b, greatest(start, 0) + n_words + least(start, 0) AS e, words[greatest(start, 0) + 1 : greatest(start, 0) + n_words + least(start, 0)] AS own
   FROM c JOIN t USING (t) JOIN d USING (row_id)),
 x AS (SELECT *, list_distinct(list_transform(range(1, len(own)), lambda i: own[i] || ' ' || own[i + 1])) AS found FROM w),
 s AS (SELECT row_id, t, license, b, e, 2.0::DOUBLE * len(list_intersect(found, pairs)) / (len(found) + len(pairs)) AS dice FROM x),
 h AS (SELECT * FROM s WHERE dice >= 0.8),
-k AS (SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM h g WHERE g.row_id = h.row_id AND (g.dice > h.dice OR (g.dice = h.dice AND g.t < h.t)) AND g.b < h.e AND h.b < g.e)),
-best AS (SELECT row_id, license, max(dice) AS dice, arg_min(b, (-dice, b)) AS place FROM k GROUP BY row_id, license)
+k AS (SELECT row_id, list({{'license': license, 'dice': dice, 'b': b, 'e': e}} ORDER BY dice DESC, t, b) AS l FROM h GROUP BY row_id
+  UNION ALL SELECT row_id, list_filter(l[2:], lambda x: x.e <= l[1].b OR x.b >= l[1].e) FROM k WHERE len(l) > 0),
+best AS (SELECT row_id, license, max(dice) AS dice, arg_min(b, (-dice, b)) AS place FROM (SELECT row_id, unnest(l[1]) FROM k WHERE len(l) > 0) GROUP BY row_id, license)
 SELECT doc_id, license, round(dice, 6) AS dice, place::BIGINT AS place FROM d LEFT JOIN best USING (row_id)
 """
 

@@ -61,6 +61,8 @@ SIGNS = 8
 HELD = 50_000
 #: Rows of torn shingles joined in one place, documents of one such shingle that meet there, and pairs made at once.
 PIECE, CELL, AT_ONCE = 100_000, 20_000, 2_000_000
+#: Pairs held before the filters.
+BLOCK = 100_000
 #: Components of more than one piece that may be broadcast.
 MANY = 100_000
 
@@ -400,11 +402,12 @@ def pairs_of(percent: int, piece: int, at_once: int) -> Callable[[Batches], Batc
         first = np.flatnonzero(col["xs"])
         if not len(first):
             return
+        row_of = np.empty(len(me), np.int64)
+        row_of[me] = np.arange(len(me))
         ends = np.cumsum(size[first])
-        lo = 0
-        while lo < len(first):
-            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + at_once, "right")))
-            x = first[lo:hi]
+
+        def near(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The pairs of these rows that pass, each once, and how many rows they share."""
             i, j = np.repeat(x, size[x]), concat_ranges(begin[x], size[x])
             ok = col["ys"][j] & (group[i] != group[j]) & (inside[j] | (me[i] < me[j]))
             i, j = i[ok], j[ok]
@@ -412,17 +415,24 @@ def pairs_of(percent: int, piece: int, at_once: int) -> Callable[[Batches], Batc
             least_left = np.minimum(pos[i], pos[j]) + np.minimum(n[i] - pos[i], n[j] - pos[j])
             ok = (100 * small >= percent * np.maximum(n[i], n[j])) & ((100 + percent) * least_left >= percent * both)
             ok &= (100 + percent) * np.minimum(common[i], common[j]) >= percent * both
-            i, j = i[ok], j[ok]
-            _, at, shared = np.unique(np.minimum(me[i], me[j]) * len(me) + np.maximum(me[i], me[j]), return_index=True, return_counts=True)
-            i, j = i[at], j[at]
+            i, j = me[i[ok]], me[j[ok]]
+            return np.unique(np.minimum(i, j) * len(me) + np.maximum(i, j), return_counts=True)
+
+        lo = 0
+        while lo < len(first):
+            hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + at_once, "right")))
+            blocks = np.split(first[lo:hi], np.flatnonzero(np.diff(ends[lo:hi] // BLOCK)) + 1)
+            pairs, counts = (np.concatenate(v) for v in zip(*map(near, blocks), strict=True))
+            pairs, at = np.unique(pairs, return_inverse=True)
+            shared = np.bincount(at, counts, len(pairs)).astype(np.int64)
+            i, j = row_of[pairs // len(me)], row_of[pairs % len(me)]
             apart = np.zeros(len(i), np.int64)
             for w in range(SIGNS):
                 sign = rows.column(f"sign{w}").to_numpy()
                 apart += np.bitwise_count((sign[i] ^ sign[j]).view(np.uint64))
             both = n[i] + n[j]
             ok = (100 + percent) * (both - apart) >= 2 * percent * both
-            i, j, shared = i[ok], j[ok], shared[ok]
-            a, b = np.where(me[i] < me[j], i, j), np.where(me[i] < me[j], j, i)
+            a, b, shared = i[ok], j[ok], shared[ok]
             if len(a):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(v) for v in (col["d"][a], col["tag"][a], col["d"][b], col["tag"][b], shared.astype(np.int64), 1 + np.minimum(n[a], n[b]) // SHARE)], names=names

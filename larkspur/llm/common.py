@@ -8,9 +8,10 @@ one document given twice.
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -21,6 +22,10 @@ from pyspark.sql import functions as F
 MIN_LONG = -(1 << 63)
 #: Spark's setting that removes an action's shuffle files when the action has ended.
 DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Links in one file of a round of :func:`components`, about.
+LINKS_A_FILE = 100_000
+
+Batches = Iterator[pa.RecordBatch]
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -62,6 +67,22 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def frugal(run: Callable[[Batches], Batches]) -> Callable[[Batches], Batches]:
+    """``run``, after which the worker gives back free memory: workers outlive tasks and stages, and
+    what one stage needed at its peak stays with them else."""
+
+    def whole(batches: Batches) -> Batches:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim is not None:
+                trim(0)
+
+    return whole
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the bytes of an Arrow batch as well as its rows: texts may be long."""
     key, most = "spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20
@@ -163,9 +184,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     Alternates the large-star and small-star steps, so hubs never expand into
     pairs; each round is one aggregation and one join on the node, cut by a
     checkpoint.  Only nodes of at least one edge come back.
+
+    No round has more links than the first, so a round writes as many files as
+    those ask for and not one for each shuffle partition.
     """
+    spark = edges.sparkSession
     links = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct()
     links = checkpointed(links)
+    files = max(spark.sparkContext.defaultParallelism, -(-links.count() // LINKS_A_FILE))
     seen = None
     while True:
         both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -176,7 +202,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         # small star: u and its smaller neighbours go to the smallest of them
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        links = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        links = checkpointed(small.union(low.select("u", F.col("m").alias("v"))).distinct().coalesce(files))
         now = links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             return links.select(F.col("u").alias("node"), F.col("v").alias("component"))

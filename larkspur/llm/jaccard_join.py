@@ -45,7 +45,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import RollingHash, checkpointed, components, concat_ranges, keyed, mixed, slices, utf8, written
+from larkspur.llm.common import RollingHash, checkpointed, components, concat_ranges, frugal, keyed, mixed, slices, utf8, written
 
 #: Counters of the frequency table: its size is fixed, so it can be broadcast.
 SKETCH_BITS = 18
@@ -484,7 +484,7 @@ def torn_pairs(rows: DataFrame, percent: int) -> DataFrame:
     return (
         rows.repartition("bd", "btag", "piece")
         .sortWithinPartitions("bd", "btag", "piece", "token", "cell")
-        .mapInArrow(pairs_of(percent, PIECE, AT_ONCE), "ad long, atag long, bd long, btag long, shared long, least long")
+        .mapInArrow(frugal(pairs_of(percent, PIECE, AT_ONCE)), "ad long, atag long, bd long, btag long, shared long, least long")
         .groupBy(c("ad").alias("hd"), c("atag").alias("htag"), c("bd").alias("d"), c("btag").alias("tag"))
         .agg(F.sum("shared").alias("shared"), F.min("least").alias("least"))
         .where("shared >= least")
@@ -514,10 +514,10 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     asked = asked.join(lists, ["d", "tag"]).groupBy("d", "tag", F.pmod(F.hash("t"), F.col("lists")).alias("part")).agg(F.collect_list("t").alias("targets"))
     return (
         texts.join(asked, ["d", "tag"])
-        .mapInArrow(ship(k), "hd long, htag long, salt int, role int, d long, tag long, body binary")
+        .mapInArrow(frugal(ship(k)), "hd long, htag long, salt int, role int, d long, tag long, body binary")
         .repartition("hd", "htag", "salt")
         .sortWithinPartitions("hd", "htag", "salt", "role")
-        .mapInArrow(verified(percent), LINKS)
+        .mapInArrow(frugal(verified(percent)), LINKS)
     )
 
 
@@ -532,12 +532,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     base = keyed(docs)
     texts = base.select("d", "tag", F.col("row.text").alias("text"))
     signs = [f"sign{i}" for i in range(SIGNS)]
-    profile = checkpointed(texts.mapInArrow(profiles(k), "d long, tag long, n long, s1 long, s2 long, " + ", ".join(f"{x} long" for x in signs)).where("n > 0").distinct())
+    profile = checkpointed(texts.mapInArrow(frugal(profiles(k)), "d long, tag long, n long, s1 long, s2 long, " + ", ".join(f"{x} long" for x in signs)).where("n > 0").distinct())
     firsts = profile.groupBy("n", "s1", "s2").agg(F.min(node("d", "tag")).alias("first"))
     copies = profile.join(firsts, ["n", "s1", "s2"]).select("first", node("d", "tag").alias("own"))
 
     counted = (
-        texts.mapInArrow(frequencies(k), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
+        texts.mapInArrow(frugal(frequencies(k)), "counter int, n long").groupBy("counter").agg(F.sum("n").alias("n")).toArrow()
     )  # at most 2^SKETCH_BITS rows
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
     sketch[counted.column("counter").to_numpy()] = counted.column("n").to_numpy()
@@ -546,10 +546,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     reps = firsts.select(F.col("first.d").alias("d"), F.col("first.tag").alias("tag"))
     live = written(
         texts.join(reps, ["d", "tag"])
-        .mapInArrow(prefixes(k, percent, sketch), "token long, d long, tag long, n long, pos int, score int")
+        .mapInArrow(frugal(prefixes(k, percent, sketch)), "token long, d long, tag long, n long, pos int, score int")
         .repartition("token")
         .sortWithinPartitions("token", "d", "tag")
-        .mapInArrow(hubs(percent), "token long, d long, tag long, n long, pos int, hd long, htag long, hn long, hpos int")
+        .mapInArrow(frugal(hubs(percent)), "token long, d long, tag long, n long, pos int, hd long, htag long, hn long, hpos int")
     )
     c = F.col
     star = (
@@ -576,7 +576,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFr
     able = able.select("node", F.col("node.d").alias("d"), F.col("node.tag").alias("tag"))
     single = (
         texts.join(able.select("d", "tag"), ["d", "tag"])
-        .mapInArrow(all_shingles(k), "token long, d long, tag long")
+        .mapInArrow(frugal(all_shingles(k)), "token long, d long, tag long")
         .groupBy("token")
         .agg(F.count("*").alias("m"), F.min("d").alias("d"), F.min("tag").alias("tag"))
         .where("m = 1")

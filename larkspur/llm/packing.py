@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from larkspur.llm.common import frugal
+
 CAPACITY = 2048
 END = 1
 #: Part of a slot that a piece may leave empty.
@@ -240,4 +242,4 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END, w
         if out:
             yield _batch(out, with_ids)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(frugal(run), PIECES)

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import RollingHash, concat_ranges, keyed, mixed, slices, utf8
+from larkspur.llm.common import RollingHash, concat_ranges, frugal, keyed, mixed, slices, utf8
 
 LENGTH = 100
 GRAM = 20
@@ -492,23 +492,23 @@ def suffix_dedup(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     base = keyed(docs)
     found = (
         base.select("d", "tag", F.col("row.text").alias("text"))
-        .mapInArrow(anchors, "h long, c long, d long, tag long, tp long, known boolean")
+        .mapInArrow(frugal(anchors), "h long, c long, d long, tag long, tp long, known boolean")
         .repartition("h")
         .sortWithinPartitions("h", "c", "d", "tag", "tp")
-        .mapInArrow(resolve, "h long, d long, tag long, tp long, ord long")
+        .mapInArrow(frugal(resolve), "h long, d long, tag long, tp long, ord long")
     )
     # what is gathered for a document is bounded by its own length
     found = found.groupBy("d", "tag").agg(F.collect_list(F.struct("tp", "h", "ord")).alias("runs"))
     # both joins shuffle the same rows by the same key, so Spark makes that exchange once
     ranges = (
         base.join(found, ["d", "tag"], "left")
-        .mapInArrow(cut, CUT)
+        .mapInArrow(frugal(cut), CUT)
         .repartition("k1", "k2")
         .sortWithinPartitions("k1", "k2", "kind", "d", "tag", "p")
-        .mapInArrow(shards, CUT)
+        .mapInArrow(frugal(shards), CUT)
         .repartition("k1", "k2")
         .sortWithinPartitions("k1", "k2", "d", "tag", "p")
-        .mapInArrow(merge, "d long, tag long, s long, e long")
+        .mapInArrow(frugal(merge), "d long, tag long, s long, e long")
         .groupBy("d", "tag")
         .agg(F.collect_list(F.struct("s", "e")).alias("spans"))
     )
@@ -517,4 +517,4 @@ def suffix_dedup(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
         + [T.StructField(x, T.LongType()) for x in ("n_bytes", "n_removed", "n_spans")]
         + [T.StructField("kept", T.BinaryType())]
     )
-    return base.join(ranges, ["d", "tag"], "left").mapInArrow(remover(whole_characters), schema)
+    return base.join(ranges, ["d", "tag"], "left").mapInArrow(frugal(remover(whole_characters)), schema)
